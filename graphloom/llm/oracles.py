@@ -1 +1,40 @@
 """DuckDB SQL of the queries that SQL can express, by the name of the query."""
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+op10_warc = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex FROM p),
+v AS (SELECT page_id, payload_bytes, hex,
+  list_transform(range(8), lambda i: ('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5))::BIGINT) AS q,
+  min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(q, lambda x: substr('{_BASE32}', CAST((x >> 15) & 31 AS INT) + 1, 1) || substr('{_BASE32}', CAST((x >> 10) & 31 AS INT) + 1, 1)
+    || substr('{_BASE32}', CAST((x >> 5) & 31 AS INT) + 1, 1) || substr('{_BASE32}', CAST(x & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM v
+"""
+
+op3_line_frequency = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
+lines AS (SELECT rid, source, md5(text) AS body, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT rid, source, text, unnest(ls) AS l FROM w)),
+spoken AS (SELECT * FROM lines WHERE line <> ''),
+counts AS (SELECT source, line, count(DISTINCT body) AS n FROM spoken GROUP BY source, line),
+hosts AS (SELECT source, count(DISTINCT md5(text)) AS docs FROM d GROUP BY source),
+frequent AS (SELECT c.source, c.line FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > 0.01 * h.docs),
+removed AS (SELECT s.rid, sum(len(string_split(s.line, ' '))) AS gone FROM spoken s JOIN frequent f ON s.source IS NOT DISTINCT FROM f.source AND s.line = f.line GROUP BY s.rid),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, sum(least(8, coalesce(i - before, 8))) AS n_rep FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM twice) GROUP BY rid),
+base AS (SELECT w.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN rep ON rep.rid = w.rid LEFT JOIN removed r ON r.rid = w.rid),
+flag AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND NOT (n_words - removed_words < 0.3 * n_words) AS kept FROM flag
+"""

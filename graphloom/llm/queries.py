@@ -12,6 +12,14 @@ from graphloom.session import read_table
 from . import oracles
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then lines in over 20 and 1 % of a host's documents go; under 30 % of the words left is depleted."""
+    from .line_frequency import line_frequency_rules
+
+    rated = line_frequency_rules(read_table(spark, sf_dir, "documents"), 20, 0.01, 0.3)
+    return rated.drop("host")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing by weighted fair queueing: weights 5, 2, 1, 150 % of all words, at most two passes."""
     from .mixing import fair_queue
@@ -22,6 +30,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, written to archives and read back."""
+    from .warc import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "pages"), min_payload=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every registered query of the subpackage by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
