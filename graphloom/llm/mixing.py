@@ -26,7 +26,7 @@ from graphloom.session import materialize
 
 from .text import word_count
 
-#: Rows that one bucket of a running sum, or the bucket of the cut, should hold.
+#: Rows that the bucket of the cut should hold.
 BUCKET_ROWS = 50_000
 
 
@@ -170,7 +170,7 @@ def fair_queue(
     budget = share * words
     level = fill_level(sources, budget, cap) if words else 0.0
     target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.lit(level)) if level < math.inf else F.col("source_size") * F.lit(float(cap))
-    buckets = max(1, math.ceil(rows / BUCKET_ROWS))
+    buckets = math.isqrt(rows) + 1  # as many as the rows in each, so that neither grows like the table
     sizes = sizes.withColumn("bucket", F.pmod(F.shiftright("place", 20), F.lit(buckets)))
     sums = sizes.groupBy("source", "no_source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source", "no_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
