@@ -20,6 +20,13 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("host")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
+    from .simhash import simhash_dedup
+
+    return simhash_dedup(read_table(spark, sf_dir, "documents"), 3, 2, 42)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing by weighted fair queueing: weights 5, 2, 1, 150 % of all words, at most two passes."""
     from .mixing import fair_queue
