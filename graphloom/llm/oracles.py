@@ -38,3 +38,24 @@ flag AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
   NOT base_failed AND NOT (n_words - removed_words < 0.3 * n_words) AS kept FROM flag
 """
+
+op7_line_dedup = r"""
+WITH l AS (SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, unnest(range(len(ls))) AS place, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, place, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
+s AS (SELECT doc_id, place, ws, len(ws) AS n, array_to_string(ws, ' ') AS norm FROM w WHERE len(ws) > 0),
+f AS (SELECT norm, any_value(ws) AS ws, any_value(n) AS n, min({'d': doc_id, 'p': place}) AS first FROM s GROUP BY norm),
+v AS (SELECT norm, n, first, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
+m AS (SELECT norm, first, min(first) OVER (PARTITION BY v, i, n) AS earliest FROM v),
+near AS (SELECT DISTINCT norm FROM (
+  SELECT norm FROM m WHERE earliest < first
+  UNION ALL SELECT v.norm FROM v JOIN f ON f.norm = v.v AND f.n >= 8 WHERE f.first < v.first
+  UNION ALL SELECT f.norm FROM v JOIN f ON f.norm = v.v AND f.n >= 8 WHERE v.first < f.first)),
+gone AS (SELECT s.doc_id, s.place, (n2.norm IS NOT NULL AND f.first = {'d': s.doc_id, 'p': s.place}) AS near
+  FROM s JOIN f ON s.norm = f.norm LEFT JOIN near n2 ON n2.norm = s.norm
+  WHERE n2.norm IS NOT NULL OR f.first <> {'d': s.doc_id, 'p': s.place}),
+agg AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE near) AS n_near, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN agg ON agg.doc_id = d.doc_id
+"""

@@ -27,6 +27,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"), 3, 2, 42)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines equal to an earlier line or one word apart from it; removed: their numbers, from 0."""
+    from .line_dedup import line_decisions
+
+    found = line_decisions(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing by weighted fair queueing: weights 5, 2, 1, 150 % of all words, at most two passes."""
     from .mixing import fair_queue
