@@ -20,6 +20,15 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("host")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by the 50k ranks, and the bytes that they decode to."""
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
     from .simhash import simhash_dedup
