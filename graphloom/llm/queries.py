@@ -29,6 +29,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-negative positive-unlabelled learning from the toxic labels of three folds; every document is scored."""
+    from .toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")), 0.3)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
     from .simhash import simhash_dedup
@@ -54,6 +62,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative-link regression on grades 0 to 2; selected if a grade of 1 or more is likelier than not."""
+    from .quality import fit, grade_of_labels, rate
+
+    docs = read_table(spark, sf_dir, "documents")
+    rated = rate(docs, fit(docs, read_table(spark, sf_dir, "labels"), grade_of_labels(), 3))
+    tail = F.get("tails", F.lit(0))
+    return rated.select("doc_id", "expected_grade", tail.alias("good"), F.get("tails", F.lit(1)).alias("best"), (tail >= 0.5).alias("selected"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to archives and read back."""
     from .warc import round_trip
