@@ -122,4 +122,4 @@ def strip_frequent_lines(docs: DataFrame, frequent: DataFrame, doc_id: str = "do
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "g.places")
     cut = F.when(F.col("g.places").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     joined = rows.join(gone, same, "left").select("row", cut.alias("cut"))
-    return joined.select(*[(F.col("cut") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    return joined.select(F.col("row").withField(text, F.col("cut")).alias("row")).select("row.*")

@@ -12,6 +12,19 @@ from graphloom.session import read_table
 from . import oracles
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed patterns, and random strings by models trained on what the patterns find and on ordinary words."""
+    from .secrets import labelled_samples, scan, spelled, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = scan(docs, train(labelled_samples(docs)))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select(
+        "doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"),
+    )
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules, then lines in over 20 and 1 % of a host's documents go; under 30 % of the words left is depleted."""
     from .line_frequency import line_frequency_rules
