@@ -1,6 +1,6 @@
 """Line dedup: lines equal to an earlier line, or one word apart from it, go.
 
-The unit of an edit is a word of the normalised line (A-Z in lower case, one space between words): a word put in, taken
+The unit of an edit is a word of the normalised line (in lower case, one space between words): a word put in, taken
 out or replaced, whatever changed within it. The bound is one edit for lines of at least `min_words` words; shorter
 lines must be equal. Lines are ordered by (doc_id, place in the text), a null id last; a line goes if an earlier one,
 kept or not, is within the bound. Lines without a word are left alone.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloom.session import materialize
 
 from .ranks import numbered
-from .text import GAP, ascii_lower, whole
+from .text import GAP, whole
 
 MIN_WORDS = 8
 
@@ -38,7 +38,7 @@ def _split(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, GAP), lambda w: w != "")
+    return F.array_remove(F.split(line, GAP), "")
 
 
 def halves(words: Column, n: Column) -> Column:
@@ -58,7 +58,7 @@ def halves(words: Column, n: Column) -> Column:
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, content, place, h1, h2 (hashes of the line), n (words), keys: a row for each line that has a word."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(_split(ascii_lower(F.col(text)))).alias("place", "line"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(_split(F.lower(F.col(text)))).alias("place", "line"))
     rows = rows.select("doc_id", "content", "place", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     return rows.select("doc_id", "content", "place", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), "n", halves(F.col("words"), F.col("n")).alias("keys"))
 
@@ -85,14 +85,14 @@ def _near(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     found = found.select("at.rank", "at.h1", "at.h2", _words(F.get("lines", F.col("at.place"))).alias("words"))
     found = materialize(found.dropDuplicates(["rank"]), "near-candidates")
     n = F.size("words")
-    variants = found.select(
-        "rank", n.alias("n"),
-        F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, n))))).alias("gap", "variant"),
-    )
-    variants = variants.select("variant", (F.shiftleft(F.col("gap").cast("long"), 32) + F.col("n")).alias("tag"), "rank")
+    hashed = found.select("rank", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    hashed = materialize(hashed.withColumn("whole", F.xxhash64("words")), "near-hashes")
+    without = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, F.col("n")))))
+    variants = hashed.select("rank", "n", F.posexplode(without).alias("gap", "variant"))
+    variants = materialize(variants.select("variant", (F.shiftleft(F.col("gap").cast("long"), 32) + F.col("n")).alias("tag"), "rank"), "variants")
     least = variants.groupBy("variant", "tag").agg(F.min("rank").alias("earlier"), F.count("*").alias("n")).filter("n > 1").drop("n")
     replaced = variants.join(least, ["variant", "tag"]).filter("earlier < rank").select(F.col("rank").alias("later"), "earlier")
-    plain = found.select(F.xxhash64("words").alias("variant"), F.size("words").alias("n"), F.col("rank").alias("whole"))
+    plain = hashed.select(F.col("whole").alias("variant"), "n", F.col("rank").alias("whole"))
     longer = variants.join(plain, "variant").filter(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("n") + 1)
     grown = longer.select(F.greatest("rank", "whole").alias("later"), F.least("rank", "whole").alias("earlier"))
     pairs = replaced.unionByName(grown).distinct()
@@ -146,4 +146,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
     joined = joined.select("row", F.when(F.col("places").isNull(), F.col("text")).otherwise(cut).alias("cut"), F.col("places").isNotNull().alias("changed"))
     if drop_empty:
         joined = joined.filter(~F.col("changed") | F.col("cut").rlike("[^\\x20\\x09-\\x0D]"))
-    return joined.select(*[(F.col("cut") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    return joined.select(F.col("row").withField(text, F.col("cut")).alias("row")).select("row.*")

@@ -42,7 +42,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 op7_line_dedup = r"""
 WITH l AS (SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, unnest(range(len(ls))) AS place, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT doc_id, place, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
+w AS (SELECT doc_id, place, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM l),
 s AS (SELECT doc_id, place, ws, len(ws) AS n, array_to_string(ws, ' ') AS norm FROM w WHERE len(ws) > 0),
 f AS (SELECT norm, any_value(ws) AS ws, any_value(n) AS n, min({'d': doc_id, 'p': place}) AS first FROM s GROUP BY norm),
 v AS (SELECT norm, n, first, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
