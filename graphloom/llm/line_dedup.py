@@ -81,7 +81,7 @@ def _near(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
     wanted = ranked.groupBy("first.doc_id", "first.content").agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "rank", "h1", "h2")).alias("wanted")).alias("w")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole(F.col(text))).alias("content")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.content") == F.col("w.content"))
-    found = texts.join(wanted, same).select(_split(ascii_lower(F.col("text"))).alias("lines"), F.explode("wanted").alias("at"))
+    found = texts.join(wanted, same).select(_split(F.lower(F.col("text"))).alias("lines"), F.explode("wanted").alias("at"))
     found = found.select("at.rank", "at.h1", "at.h2", _words(F.get("lines", F.col("at.place"))).alias("words"))
     found = materialize(found.dropDuplicates(["rank"]), "near-candidates")
     n = F.size("words")
