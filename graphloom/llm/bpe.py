@@ -202,3 +202,23 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(lambda b: _digests(b, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _checked(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    bpe = load(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [t.as_py() or "" for t in part["text"]]
+            ids = [bpe.encode(t) for t in texts]
+            same = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())],
+                names=["doc_id", "ids", "n_tokens", "decodes"],
+            )
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, decodes (whether the ids decode to the text's bytes) of each row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda b: _checked(b, path, pattern), "doc_id long, ids array<int>, n_tokens long, decodes boolean")

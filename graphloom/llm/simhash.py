@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
@@ -280,3 +280,16 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int =
     marks = materialize(fingerprints(docs, shingle, seed, doc_id, text), "marks")
     classes = near_duplicate_classes(marks, bound)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class with its own columns: that with the smallest id; of rows equal in id and text, any one."""
+    marks = materialize(fingerprints(docs, shingle, seed, doc_id, text), "marks")
+    classes = near_duplicate_classes(marks, bound)
+    nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first")
+    kept = classes.groupBy("component_id", nameless.alias("nameless")).agg(first).select("first.doc_id", "first.content").alias("k")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("content")).alias("r")
+    found = rows.join(kept, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.content") == F.col("k.content"))).select("row", "r.doc_id", "r.content")
+    place = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy(F.lit(0)))
+    return found.withColumn("place", place).filter("place = 1").select("row.*")
