@@ -12,6 +12,13 @@ from graphloom.session import read_table
 from . import oracles
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    from .permutation import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed patterns, and random strings by models trained on what the patterns find and on ordinary words."""
     from .secrets import labelled_samples, scan, spelled, train
