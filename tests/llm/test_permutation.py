@@ -52,5 +52,5 @@ def test_a_crowd_of_copies_keeps_no_one_out(spark):
     crowd, others = rng.normal(size=8), rng.normal(size=(300, 8))
     rows = [(i, list(map(float, crowd if i % 2 else others[i // 2]))) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got, want = result(P.search(df, F.col("vec_id") % 20 == 0, 20, pivots=32, prefix=16, least=60)), brute(rows)
+    got, want = result(P.search(df, F.col("vec_id") % 20 == 0, 20, pivots=64, prefix=48, least=90)), brute(rows)
     assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
