@@ -585,3 +585,41 @@ def v16_suggestions(spark, d):
 @query("SELECT id, query, CAST(rnk AS INT) AS rnk FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rnk FROM history) WHERE rnk <= 100")
 def v17_recent_history(spark, d):
     return G.top(A.history(spark, d).select("id", "query", "ts"), 100, F.desc("ts"), F.desc("id")).select("id", "query", "rnk")
+
+
+# --- streams
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total_value FROM events GROUP BY 1, 2""", tables=False)
+def st1_windowed_counts(spark, d):
+    from graphloom.streaming import history as H
+
+    events = H.read_history(spark, d, read_table(spark, d, "events").schema, "events.parquet")
+    out = H.run_to_table(H.windowed_counts(events, late="40 days"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total_value", 4).alias("total_value"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k""", tables=False)
+def st2_sessions(spark, d):
+    from graphloom.streaming import history as H
+
+    events = read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = H.sessions(events)
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+# --- several operators in one
+
+
+@query()
+def v10_hybrid_search(spark, d):
+    from graphloom.functions.embed import embed, embedder
+    from graphloom.plans.search import Searcher, SearchRequest
+    from graphloom.session import materialize
+
+    rows = A.contents(spark, d).filter("content is not null")
+    model = embedder(1024).fit(rows)
+    table = materialize(embed(model, rows), "embedded")
+    vector = lambda q: list(embed(model, spark.createDataFrame([(q,)], "content string")).first()["embedding"])
+    return Searcher(table, vector).search(SearchRequest("license", threshold=0.05)).withColumn("highlights", F.array_join("highlights", "|||"))
