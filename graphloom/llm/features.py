@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,31 +58,56 @@ def text_profile(text: str | None, bits: int) -> dict[int, float]:
 
 
 class Rows:
-    """Sparse rows of feature numbers, with values of 1 unless given."""
+    """Sparse rows of feature numbers, with values of 1 unless given.
 
-    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None) -> None:
-        self.n = len(rows)
-        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.columns = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.ones(len(self.columns)) if values is None else np.concatenate(values) if values else np.zeros(0)
+    ends: where each row ends in columns. Arrays are kept as they are, and temporaries are of the size of columns.
+    """
+
+    def __init__(self, ends: np.ndarray, columns: np.ndarray, values: np.ndarray | None = None) -> None:
+        self.n, self.columns, self.values = len(ends), columns, values
+        self.at = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends, prepend=0))
+
+    @classmethod
+    def of(cls, rows: list, values: list | None = None) -> Rows:
+        flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        return cls(np.cumsum([len(r) for r in rows], dtype=np.int64), flat, None if values is None else np.concatenate([np.asarray(v, float) for v in values] or [np.zeros(0)]))
+
+    @classmethod
+    def of_bytes(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray | None = None) -> Rows:
+        """From binary columns of 32-bit numbers, without a copy for each row."""
+
+        def flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+            parts = [(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1], c.buffers()[2]) for c in column.chunks if len(c)]
+            ends = [np.diff(o.astype(np.int64)) // 4 for o, _ in parts]
+            data = [np.frombuffer(b, kind)[o[0] // 4 : o[-1] // 4] if b is not None else np.zeros(0, kind) for o, b in parts]
+            return np.cumsum(np.concatenate(ends or [np.zeros(0, np.int64)])), np.concatenate(data or [np.zeros(0, kind)])
+
+        ends, numbers = flat(columns, "<i4")
+        return cls(ends, numbers, None if values is None else flat(values, "<f4")[1])
+
+    def _weigh(self, x: np.ndarray) -> np.ndarray:
+        return x if self.values is None else x * self.values
 
     def select(self, target: np.ndarray, least: float = 4.0, min_rows: int = 5) -> np.ndarray:
         """Keep the features that go with the target by at least so many standard errors; returns their former numbers."""
-        found, place, counts = np.unique(self.columns, return_inverse=True, return_counts=True)
+        found, counts = np.unique(self.columns, return_counts=True)
+        place = np.searchsorted(found, self.columns)
         off = target - target.mean() if len(target) else target
-        both = np.bincount(place, self.values * off[self.at], len(found))
-        size = np.bincount(place, self.values**2, len(found))
+        both = np.bincount(place, self._weigh(off[self.at]), len(found))
+        size = counts.astype(float) if self.values is None else np.bincount(place, self.values.astype(float) ** 2, len(found))
         good = (counts >= min_rows) & (np.abs(both) > least * np.sqrt(size * max(float(np.var(off)), 1e-12))) if len(found) else np.zeros(0, bool)
-        number, held = np.cumsum(good) - 1, good[place]
-        self.at, self.values, self.columns = self.at[held], self.values[held], number[place[held]]
+        held = good[place]
+        self.columns = (np.cumsum(good) - 1)[place[held]].astype(np.int32)
+        self.at = self.at[held]
+        self.values = None if self.values is None else self.values[held]
         return found[good]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights[self.columns] * self.values, self.n)
+        return np.bincount(self.at, self._weigh(weights[self.columns]), self.n)
 
     def gather(self, of_rows: np.ndarray, size: int) -> np.ndarray:
         """The transposed product."""
-        return np.bincount(self.columns, of_rows[self.at] * self.values, size)
+        return np.bincount(self.columns, self._weigh(of_rows[self.at]), size)
 
 
 class Adam:

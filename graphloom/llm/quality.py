@@ -42,11 +42,10 @@ class Model:
         return sigmoid(sum(get(k, 0.0) * v for k, v in text_profile(text, BITS).items()) - self.thresholds)
 
 
-def train(columns: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_grades: int, rate: float = 0.1, steps: int = 300, shrink: float = 1e-4) -> Model:
+def train(rows: Rows, grades: np.ndarray, n_grades: int, rate: float = 0.1, steps: int = 300, shrink: float = 1e-4) -> Model:
     """Maximum likelihood with a ridge; thresholds are the first plus sums of exponentials, so they stay ordered."""
     if not len(grades):
         return Model(thresholds=np.full(n_grades - 1, -30.0))
-    rows = Rows(columns, values)
     names = rows.select(grades.astype(float))
     share = np.clip([(grades >= k).mean() for k in range(1, n_grades)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
@@ -85,9 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, max_ra
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").limit(2 * max_rated)  # at most max_rated ids are broadcast
     table = sample.select("grade", "text").mapInArrow(_features, "grade int, columns binary, values binary").toArrow()
-    columns = [np.frombuffer(x, "<i4") for x in table["columns"].to_pylist()]
-    values = [np.frombuffer(x, "<f4").astype(float) for x in table["values"].to_pylist()]
-    return train(columns, values, np.array(table["grade"].to_pylist(), np.int64), n_grades)
+    return train(Rows.of_bytes(table["columns"], table["values"]), table["grade"].to_numpy().astype(np.int64), n_grades)
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -47,12 +47,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rate: float = 0.1, steps: int = 400, shrink: float = 1e-4) -> Model:
-    """Minimise the non-negative risk over rows of distinct feature numbers."""
-    if not positive or not unlabelled:
+def train(rows: Rows, marked: np.ndarray, prior: float, rate: float = 0.1, steps: int = 400, shrink: float = 1e-4) -> Model:
+    """Minimise the non-negative risk over rows of distinct feature numbers; marked: which rows are confirmed toxic."""
+    p = int(marked.sum())
+    if not p or p == rows.n:
         return Model()
-    rows, p = Rows([*positive, *unlabelled]), len(positive)
-    marked = np.arange(rows.n) < p
     names = rows.select(marked.astype(float), 3.5, 3)
     weights, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     of_weights, of_bias = Adam(len(names), rate), Adam(1, rate)
@@ -98,9 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     chosen = materialize(positive.withColumn("marked", F.lit(True)).unionByName(others.withColumn("marked", F.lit(False))), "sample")
     sample = texts.join(F.broadcast(chosen), "doc_id").limit(2 * (max_positive + max_unlabelled))
     table = sample.select("marked", "text").mapInArrow(_features, "marked boolean, features binary").toArrow()
-    found = [np.frombuffer(x, "<i4") for x in table["features"].to_pylist()]
-    marked = table["marked"].to_pylist()
-    return train([f for f, m in zip(found, marked, strict=True) if m], [f for f, m in zip(found, marked, strict=True) if not m], prior)
+    return train(Rows.of_bytes(table["features"]), table["marked"].to_numpy().astype(bool), prior)
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
