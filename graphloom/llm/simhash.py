@@ -288,7 +288,13 @@ def keep_one(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int = 42,
     classes = near_duplicate_classes(marks, bound)
     nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first")
-    kept = classes.groupBy("component_id", nameless.alias("nameless")).agg(first).select("first.doc_id", "first.content").alias("k")
+    kept = classes.groupBy("component_id", nameless.alias("nameless")).agg(first).select("first.doc_id", "first.content")
+    return only(docs, kept, doc_id, text)
+
+
+def only(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that kept (doc_id, content) names, one of those equal in both."""
+    kept = kept.alias("k")
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("content")).alias("r")
     found = rows.join(kept, F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.content") == F.col("k.content"))).select("row", "r.doc_id", "r.content")
     place = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy(F.lit(0)))
