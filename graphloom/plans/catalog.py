@@ -129,6 +129,17 @@ def g4_most_reaching(spark, d):
     return n.orderBy(F.desc("n_reachable"), "id").limit(10)
 
 
+@query()
+def g3_closure_whole(spark, d):
+    return G.closure(_edges(spark, d))
+
+
+@query()
+def g4_most_reaching_whole(spark, d):
+    n = G.closure(_edges(spark, d)).filter("src != dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_reachable"))
+    return n.orderBy(F.desc("n_reachable"), "id").limit(10)
+
+
 _DEG = """deg AS (SELECT f.id, (SELECT count(*) FROM edges e WHERE e.src = f.id) AS out_degree, (SELECT count(*) FROM edges e WHERE e.dst = f.id) AS in_degree FROM functions f)"""
 
 
@@ -457,6 +468,11 @@ def r2_pagerank(spark, d):
     return ranking.pagerank(A.functions(spark, d), _edges(spark, d), rounds=_ROUNDS).withColumn("rank", F.round("rank", 9))
 
 
+@query()
+def r2_pagerank_converged(spark, d):
+    return ranking.pagerank(A.functions(spark, d), _edges(spark, d)).withColumn("rank", F.round("rank", 9))
+
+
 @query(f"WITH {_TRAD}, lv AS (SELECT {_LEVEL} AS importance_level FROM trad) SELECT l AS importance_level, (SELECT count(*) FROM lv WHERE importance_level = l) AS n FROM (SELECT unnest(['Critical', 'High', 'Medium', 'Low', 'Minimal']) AS l)")
 def r4_level_distribution(spark, d):
     return ranking.distribution(ranking.traditional(A.functions(spark, d), _edges(spark, d)))
@@ -475,13 +491,13 @@ def r8_importance_summary(spark, d):
 
 @query()
 def r3_hybrid_importance(spark, d):
-    return ranking.hybrid(A.functions(spark, d), _edges(spark, d), rounds=10)
+    return ranking.hybrid(A.functions(spark, d), _edges(spark, d))
 
 
 @query()
 def r7_compare_scores(spark, d):
     f, e = A.functions(spark, d), _edges(spark, d)
-    return ranking.compare(ranking.traditional(f, e), ranking.pagerank_importance(f, e, rounds=10))
+    return ranking.compare(ranking.traditional(f, e), ranking.pagerank_importance(f, e))
 
 
 _SCORE = "round(0.4::DOUBLE * cyclomatic_complexity + 0.01::DOUBLE * lines_of_code + 0.3::DOUBLE * branch_count + 0.1::DOUBLE * parameters, 6)"
@@ -504,12 +520,12 @@ def r11_percentile_rank(spark, d):
 
 @query()
 def r13_closeness(spark, d):
-    return centrality.closeness(A.functions(spark, d).select("id"), _edges(spark, d), 3)
+    return centrality.closeness(A.functions(spark, d).select("id"), _edges(spark, d))
 
 
 @query()
 def r13_eigenvector(spark, d):
-    return centrality.eigenvector(A.functions(spark, d).select("id"), _edges(spark, d), 5)
+    return centrality.eigenvector(A.functions(spark, d).select("id"), _edges(spark, d), 1000)
 
 
 @query()
@@ -525,12 +541,12 @@ def r14_degree_centrality(spark, d):
 
 @query()
 def r15_label_propagation(spark, d):
-    return centrality.label_propagation(A.functions(spark, d).select("id"), _edges(spark, d), 4)
+    return centrality.label_propagation(A.functions(spark, d).select("id"), _edges(spark, d), 100)
 
 
 @query()
 def r15_louvain_level(spark, d):
-    return centrality.louvain_level(A.functions(spark, d).select("id"), _edges(spark, d), 3)
+    return centrality.louvain_level(A.functions(spark, d).select("id"), _edges(spark, d), 100)
 
 
 @query()
