@@ -291,6 +291,11 @@ def j7_neighbours(spark, d):
     return G.neighbours(_edges(spark, d), A.functions(spark, d).filter("id <= 20"))
 
 
+@query("SELECT src AS id, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges")
+def j7_neighbours_whole(spark, d):
+    return G.neighbours(_edges(spark, d), A.functions(spark, d))
+
+
 @query("""SELECT f.id, f.name, f.file_path, f.parent_class,
 coalesce((SELECT string_agg(DISTINCT g.name, ',' ORDER BY g.name) FROM edges e JOIN functions g ON g.id = e.dst WHERE e.src = f.id), '') AS callees,
 coalesce((SELECT string_agg(DISTINCT g.name, ',' ORDER BY g.name) FROM edges e JOIN functions g ON g.id = e.src WHERE e.dst = f.id), '') AS callers FROM functions f""")
@@ -530,8 +535,7 @@ def r13_eigenvector(spark, d):
 
 @query()
 def r13_betweenness(spark, d):
-    f = A.functions(spark, d).select("id")
-    return centrality.betweenness(f, _edges(spark, d), f.filter("id <= 20"), 4)
+    return centrality.betweenness(A.functions(spark, d).select("id"), _edges(spark, d), max_depth=None)
 
 
 @query(f"WITH {_DEG} SELECT id, in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, id LIMIT 20")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from graphloom import adapters as A
+from graphloom.operators import centrality
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,24 @@ def test_pagerank_converges(spark, nodes):
         rank = {v: (0.15 + 0.85 * loose) / len(nodes) + 0.85 * sum(rank[s] / out[s] for s, t in EDGES if t == v) for v in nodes}
     # the rounds stop when all ranks together move by less than 1e-6 a node, and shrink by 0.85 each
     assert {r.id: r["rank"] for r in run(spark, "r2_pagerank_converged")} == pytest.approx(rank, abs=2e-4)
+
+
+def test_betweenness_from_all_sources_at_any_depth(spark, nodes):
+    of, want = {s: distances(s) for s in nodes}, dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t, (d, n) in of[s].items():
+            for v in nodes:
+                if v not in (s, t) and v in of[s] and t in of[v] and of[s][v][0] + of[v][t][0] == d:
+                    want[v] += of[s][v][1] * of[v][t][1] / n
+    assert {r.id: r.betweenness for r in run(spark, "r13_betweenness")} == pytest.approx(want, abs=2e-6)
+
+
+def test_betweenness_in_blocks(spark, nodes):
+    f, e = A.functions(spark, SF).select("id"), catalog._edges(spark, SF)
+    whole = centrality.betweenness(f, e, max_depth=None).collect()
+    assert sorted(centrality.betweenness(f, e, max_depth=None, block=11).collect()) == sorted(whole)
+
+
+def test_neighbours_of_every_function(spark, nodes):
+    want = {x for s, t in EDGES for x in ((s, t), (t, s))}
+    assert sorted((r.id, r.neighbour) for r in run(spark, "j7_neighbours_whole")) == sorted(want)
