@@ -13,8 +13,8 @@ no bit is left, so no link is lost and no task compares an unbounded group. Of t
 its classes are passed on, one for each fingerprint.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero, which is linked like any other; fewer words
-than a shingle give one shingle; repeated rows are copies; a null doc_id gets the class of its text if any row of the
-class has an id, else null; an empty table gives an empty result. Only the two named columns are read.
+than a shingle give one shingle; repeated rows are copies; rows with a null doc_id take part in links, and get
+their class if any row of it has an id, else null; an empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -267,12 +267,19 @@ def posting_links(distinct: DataFrame, probes: list[tuple[int, int]], bound: int
 
 def near_duplicate_classes(marks: DataFrame, bound: int = 2, most: int = 1024) -> DataFrame:
     """marks (any columns with doc_id and fingerprint) with component_id: the smallest doc_id reachable by links."""
-    distinct = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    known = distinct.filter("rep is not null")
-    links = materialize(posting_links(known, plan_probes(known, bound), bound, most), "near-links")
-    classes = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = distinct.join(classes, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "fingerprint")
+    return _classed(marks, bound, most).drop("class_")
+
+
+def _classed(marks: DataFrame, bound: int, most: int = 1024) -> DataFrame:
+    """near_duplicate_classes with class_, a fingerprint of the class, for classes that no id names."""
+    distinct = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
+    nodes = distinct.select("fingerprint", F.col("fingerprint").alias("rep"))
+    links = materialize(posting_links(nodes, plan_probes(nodes, bound), bound, most), "near-links")
+    classes = connected_components(links).select(F.col("node").alias("fingerprint"), "component")
+    named = distinct.join(classes, "fingerprint", "left").withColumn("class_", F.coalesce("component", "fingerprint"))
+    named = materialize(named.select("fingerprint", "class_", "least"), "named")
+    ids = named.groupBy("class_").agg(F.min("least").alias("component_id"))
+    return marks.join(named.drop("least").join(ids, "class_").select("fingerprint", "class_", "component_id"), "fingerprint")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,10 +292,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int =
 def keep_one(docs: DataFrame, shingle: int = 3, bound: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class with its own columns: that with the smallest id; of rows equal in id and text, any one."""
     marks = materialize(fingerprints(docs, shingle, seed, doc_id, text), "marks")
-    classes = near_duplicate_classes(marks, bound)
-    nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    classes = _classed(marks, bound)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first")
-    kept = classes.groupBy("component_id", nameless.alias("nameless")).agg(first).select("first.doc_id", "first.content")
+    kept = classes.groupBy("class_").agg(first).select("first.doc_id", "first.content")
     return only(docs, kept, doc_id, text)
 
 

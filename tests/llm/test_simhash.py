@@ -104,3 +104,10 @@ def test_whole_table_as_brute_force(spark, sf):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, rep string")
     assert S.simhash_dedup(df).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark):
+    rows = [(5, 0b0), (None, 0b11), (3, 0b1111), (None, 1 << 40), (None, 0b111 << 40), (9, (1 << 63) - (1 << 50))]
+    got = S.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, fingerprint long"), 2).collect()
+    want = {0b0: 3, 0b11: 3, 0b1111: 3, 1 << 40: 3, 0b111 << 40: 3, rows[5][1]: 9}
+    assert {r.fingerprint: r.component_id for r in got} == want
