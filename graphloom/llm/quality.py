@@ -82,7 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, max_ra
     rated = rated.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = materialize(rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rated), "rated")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").limit(2 * max_rated)  # at most max_rated ids are broadcast
+    # at most max_rated ids are broadcast; of rows that share an id, the smallest text is taken
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     table = sample.select("grade", "text").mapInArrow(_features, "grade int, columns binary, values binary").toArrow()
     return train(Rows.of_bytes(table["columns"], table["values"]), table["grade"].to_numpy().astype(np.int64), n_grades)
 

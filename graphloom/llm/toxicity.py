@@ -92,10 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     order = F.xxhash64(F.lit(seed), "doc_id")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     positive = known.filter("label = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive)
-    others = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(max_unlabelled).distinct()
+    others = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     # at most max_positive + max_unlabelled ids
     chosen = materialize(positive.withColumn("marked", F.lit(True)).unionByName(others.withColumn("marked", F.lit(False))), "sample")
-    sample = texts.join(F.broadcast(chosen), "doc_id").limit(2 * (max_positive + max_unlabelled))
+    # of rows that share an id, the smallest text is taken
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "marked").agg(F.min("text").alias("text"))
     table = sample.select("marked", "text").mapInArrow(_features, "marked boolean, features binary").toArrow()
     return train(Rows.of_bytes(table["features"]), table["marked"].to_numpy().astype(bool), prior)
 
