@@ -1,17 +1,20 @@
-"""Line dedup: lines equal to an earlier line, or one word apart from it, go.
+"""Line dedup: lines equal to an earlier line, or one character apart from it, go.
 
-The unit of an edit is a word of the normalised line (in lower case, one space between words): a word put in, taken
-out or replaced, whatever changed within it. The bound is one edit for lines of at least `min_words` words; shorter
-lines must be equal. Lines are ordered by (doc_id, place in the text), a null id last; a line goes if an earlier one,
-kept or not, is within the bound. Lines without a word are left alone.
+Lines are compared in lower case with one space between words, and the bound is one edit: a unit put in, taken out or
+replaced. The unit is a word, whatever changed within it, if the longer of two lines has at least `MIN_WORDS` words, and
+a character (code point) if it has fewer, where a word would be too much of the line. Lines are ordered by (doc_id, place
+in the text), a null id last; a line goes if an earlier one, kept or not, is within the bound, so of a series of lines
+that drift apart by an edit each, only the first stays. Lines without a word are left alone.
 
-The join is on deletion neighbourhoods. Every line emits its hash and the hash of each variant with one word deleted;
-two lines are within the bound only if a variant of one is the other, or a variant of each, deleted at the same place,
-is the same. Groups of equal variants are answered by their minimum, never by pairs: each line meets the earliest line of
-the group. Pairs that are found are verified word for word.
+The join is on deletion neighbourhoods: two lines of one length are within the bound only if they are equal without the
+unit at some place, and two that differ by one in length only if the longer without some unit is the other. Lines emit
+the hashes of such variants, and groups of equal variants are answered by their minimum, never by pairs: each line meets
+the earliest line of the group. Pairs are verified unit for unit.
 
-Only lines that could have a partner emit variants: two lines within the bound share the first or the last half of
-their words, so lines that share neither with another line are out. That is a filter without loss.
+Variants are emitted only where there can be an equal one. With L the length of the shorter line, one edit lies in one of
+any number of stretches that cut L units, and both lines agree in front of that stretch and behind it. So lines first
+look for partners by the two halves, then by about sqrt(L) stretches, and emit the variants of the stretches that another
+line shares. These are filters without loss, and keep the work on a line of n units at n * sqrt(n).
 
 Texts are shuffled once, to fetch the lines that emit variants; all else travels as hashes. Lines are first reduced to
 one row for each different line, with partial aggregates, so a line on a third of all pages costs one row.
@@ -28,87 +31,130 @@ from pyspark.sql import functions as F
 from graphloom.session import materialize
 
 from .ranks import numbered
-from .text import GAP, whole
+from .text import whole
 
+#: Words that the longer of two lines has at least for the unit to be a word.
 MIN_WORDS = 8
+#: Texts in which this is found have more than one space between words, or other spaces.
+_ODD = "[\\x09\\x0B-\\x0D]|\\x20\\x20|\\x20\\n|\\n\\x20"
 
 
 def _split(text: Column) -> Column:
     return F.split(whole(text), "\n")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, GAP), "")
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, with one space for each run of spaces; those at the ends are yet to be trimmed."""
+    low = F.lower(whole(text))
+    return F.split(F.when(low.rlike(_ODD), F.regexp_replace(low, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(low), "\n")
 
 
-def halves(words: Column, n: Column) -> Column:
-    """Hashes of which two lines within the bound share one.
+def _count(line: Column) -> Column:
+    """Words of a line with one space between them."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
-    A line of n words is compared with lines of n - 1, n and n + 1; the shorter of two has half its words, n div 2, in
-    front of or behind the edit.
-    """
 
-    def ends(h: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(1), h, F.slice(words, 1, h)), F.xxhash64(F.lit(2), h, F.slice(words, n - h + 1, h))]
+def halves(line: Column, n: Column) -> Column:
+    """Hashes of which two lines within the bound share one; n: words of the line.
 
-    half = F.floor(n / 2).cast("int")
-    less = F.floor((n - 1) / 2).cast("int")
-    return F.when(n < MIN_WORDS, F.array().cast("array<long>")).when(half == less, F.array(*ends(half))).otherwise(F.array(*ends(half), *ends(less)))
+    The shorter of two lines, of L units, has L div 2 of them in front of the edit or behind it. Lines within the bound
+    by characters have at most MIN_WORDS - 1 words, those by words at least that many.
+    """
+    size = F.length(line)
+    cut = lambda h: F.call_function("substring_index", line, F.lit(" "), h)
+    words = lambda h: [F.xxhash64(F.lit(1), h, cut(h)), F.xxhash64(F.lit(2), h, cut(-h))]
+    letters = lambda h: [F.xxhash64(F.lit(3), h, line.substr(F.lit(1), h)), F.xxhash64(F.lit(4), h, line.substr(size - h + 1, h))]
+    both = lambda ends, m: F.when(m % 2 == 1, F.array(*ends(F.floor(m / 2).cast("int")))).otherwise(F.array(*ends(F.floor(m / 2).cast("int")), *ends(F.floor(m / 2).cast("int") - 1)))
+    none = F.array().cast("array<long>")
+    return F.when(n >= MIN_WORDS, both(words, n)).otherwise(F.concat(both(letters, size), F.when(n == MIN_WORDS - 1, F.array(*words(F.lit((MIN_WORDS - 1) // 2)))).otherwise(none)))
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, content, place, h1, h2 (hashes of the line), n (words), keys: a row for each line that has a word."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(_split(F.lower(F.col(text)))).alias("place", "line"))
-    rows = rows.select("doc_id", "content", "place", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    return rows.select("doc_id", "content", "place", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), "n", halves(F.col("words"), F.col("n")).alias("keys"))
+    """doc_id, content, place, h1, h2 (hashes of the line), keys: a row for each line that has a word."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(normal_lines(F.col(text))).alias("place", "line"))
+    rows = rows.select("doc_id", "content", "place", F.trim("line").alias("line")).filter("line != ''").withColumn("n", _count(F.col("line")))
+    return rows.select("doc_id", "content", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), halves(F.col("line"), F.col("n")).alias("keys"))
 
 
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "place")
 
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key another row has."""
+    shared = rows.groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1").select(key)
+    return rows.join(shared, key, "left_semi")
+
+
 def _candidates(lines: DataFrame) -> DataFrame:
-    """The lines that share half their words with another line."""
+    """The lines that share half their units with another line."""
     keys = lines.select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    some = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    return lines.join(some, ["h1", "h2"], "left_semi")
+    return lines.join(_shared(keys, "key").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
 
 
-def _near(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """h1, h2 of the lines that have an earlier line one edit apart. lines: one row for each different line."""
-    ranked = numbered(_candidates(lines).select("h1", "h2", "first"), [F.col("first"), F.col("h1"), F.col("h2")])
+def _texts(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """rank (in the order of their first places), h1, h2, line of different lines."""
+    ranked = numbered(lines.select("h1", "h2", "first"), [F.col("first"), F.col("h1"), F.col("h2")])
     wanted = ranked.groupBy("first.doc_id", "first.content").agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "rank", "h1", "h2")).alias("wanted")).alias("w")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole(F.col(text))).alias("content")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.content") == F.col("w.content"))
-    found = texts.join(wanted, same).select(_split(F.lower(F.col("text"))).alias("lines"), F.explode("wanted").alias("at"))
-    found = found.select("at.rank", "at.h1", "at.h2", _words(F.get("lines", F.col("at.place"))).alias("words"))
-    found = materialize(found.dropDuplicates(["rank"]), "near-candidates")
-    n = F.size("words")
-    hashed = found.select("rank", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    hashed = materialize(hashed.withColumn("whole", F.xxhash64("words")), "near-hashes")
-    without = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, F.col("n")))))
-    variants = hashed.select("rank", "n", F.posexplode(without).alias("gap", "variant"))
-    variants = materialize(variants.select("variant", (F.shiftleft(F.col("gap").cast("long"), 32) + F.col("n")).alias("tag"), "rank"), "variants")
-    least = variants.groupBy("variant", "tag").agg(F.min("rank").alias("earlier"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    replaced = variants.join(least, ["variant", "tag"]).filter("earlier < rank").select(F.col("rank").alias("later"), "earlier")
-    plain = hashed.select(F.col("whole").alias("variant"), "n", F.col("rank").alias("whole"))
-    longer = variants.join(plain, "variant").filter(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("n") + 1)
-    grown = longer.select(F.greatest("rank", "whole").alias("later"), F.least("rank", "whole").alias("earlier"))
-    pairs = replaced.unionByName(grown).distinct()
-    a = found.select(F.col("rank").alias("later"), "h1", "h2", F.col("words").alias("a"))
-    b = found.select(F.col("rank").alias("earlier"), F.col("words").alias("b"))
-    return pairs.join(a, "later").join(b, "earlier").filter(one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words are at most one edit apart: what they share in front and behind leaves one word."""
-    short, long = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    unlike = F.zip_with(F.slice(a, 1, short), F.slice(b, 1, short), lambda x, y: x != y)
-    front = F.coalesce(F.nullif(F.array_position(unlike, True), F.lit(0)) - 1, short.cast("long"))
-    behind = F.zip_with(F.slice(F.reverse(a), 1, short), F.slice(F.reverse(b), 1, short), lambda x, y: x != y)
-    back = F.coalesce(F.nullif(F.array_position(behind, True), F.lit(0)) - 1, short.cast("long"))
-    return (long - short <= 1) & (front + back >= long - 1)
+    found = texts.join(wanted, same).select(normal_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("at"))
+    found = found.select("at.rank", "at.h1", "at.h2", F.trim(F.get("lines", F.col("at.place"))).alias("line"))
+    return found.dropDuplicates(["rank"])
+
+
+def units(lines: DataFrame) -> DataFrame:
+    """rank, kind (0 for words, 1 for characters), n, units (strings); a line of MIN_WORDS - 1 words has a row of each."""
+    n = _count(F.col("line"))
+    words = F.struct(F.lit(0).alias("kind"), F.split("line", " ").alias("units"))
+    letters = F.struct(F.lit(1).alias("kind"), F.split("line", "").alias("units"))
+    both = F.when(n >= MIN_WORDS, F.array(words)).when(n == MIN_WORDS - 1, F.array(words, letters)).otherwise(F.array(letters))
+    return lines.select("rank", F.explode(both).alias("of")).select("rank", "of.kind", F.size("of.units").alias("n"), "of.units")
+
+
+def _without(array: Column, place: Column) -> Column:
+    return F.concat(F.slice(array, 1, place - 1), F.slice(array, place + 1, F.size(array)))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """variant, kind, place, n, shorter, rank: the deletions that another line may share. lines: rank, kind, n, units (long).
+
+    shorter: the length of the shorter line that the variant is to meet, n for a replaced unit, else n - 1.
+    """
+    cut = lines.select("rank", "kind", "n", "units", F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("shorter"))
+    cut = cut.withColumn("stretches", F.greatest(F.lit(1), F.ceil(F.sqrt("shorter"))).cast("int"))
+    begin = lambda q: F.floor(q * F.col("shorter") / F.col("stretches")).cast("int")
+    behind = lambda q: F.col("shorter") - begin(q + 1)
+    key = lambda q: F.xxhash64("kind", "shorter", q, F.slice("units", 1, begin(q)), F.slice("units", F.col("n") - behind(q) + 1, behind(q)))
+    keyed = cut.select("rank", "kind", "shorter", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("stretches") - 1), key)).alias("q", "key"))
+    hit = _shared(keyed, "key").groupBy("rank", "kind", "shorter").agg(F.collect_list("q").alias("hits"))  # at most sqrt(n) of each line
+    last = lambda q: F.col("n") - behind(q)
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda q: F.when(last(q) > begin(q), F.sequence(begin(q) + 1, last(q))).otherwise(F.array().cast("array<int>")))))
+    by_word = (F.col("kind") == 1) | (F.col("n") >= MIN_WORDS)  # by words, the longer line has at least so many
+    placed = cut.filter(by_word).join(hit, ["rank", "kind", "shorter"]).select("rank", "kind", "units", "n", "shorter", F.explode(places).alias("place"))
+    return placed.select(F.xxhash64(_without(F.col("units"), F.col("place"))).alias("variant"), "kind", "place", "n", "shorter", "rank")
+
+
+def _near(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """h1, h2 of the lines that have an earlier line one edit apart. lines: one row for each different line."""
+    found = materialize(_texts(_candidates(lines), docs, doc_id, text), "near-candidates")
+    cut = units(found)
+    hashed = materialize(cut.withColumn("units", F.transform("units", lambda w: F.xxhash64(w))), "near-units")
+    emitted = materialize(variants(hashed), "variants")
+    replaced = emitted.filter("shorter = n")
+    same = ["variant", "kind", "place", "n"]
+    least = replaced.groupBy(*same).agg(F.min("rank").alias("earlier"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    replaced = replaced.join(least, same).filter("earlier < rank").select("kind", F.col("rank").alias("later"), "earlier", F.col("place").alias("a_place"), F.col("place").alias("b_place"))
+    plain = hashed.select(F.xxhash64("units").alias("variant"), "kind", F.col("n").alias("shorter"), F.col("rank").alias("whole"))
+    longer = emitted.filter("shorter < n").join(plain, ["variant", "kind", "shorter"])
+    is_later, none = F.col("rank") > F.col("whole"), F.lit(None).cast("int")
+    grown = longer.select("kind", F.greatest("rank", "whole").alias("later"), F.least("rank", "whole").alias("earlier"), F.when(is_later, F.col("place")).otherwise(none).alias("a_place"), F.when(is_later, none).otherwise(F.col("place")).alias("b_place"))
+    pairs = replaced.unionByName(grown).groupBy("kind", "later", "earlier").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"))
+    a = cut.select("kind", F.col("rank").alias("later"), F.col("units").alias("a"))
+    b = cut.select("kind", F.col("rank").alias("earlier"), F.col("units").alias("b"))
+    less = lambda x: F.when(F.col(f"{x}_place").isNull(), F.col(x)).otherwise(_without(F.col(x), F.col(f"{x}_place")))
+    verified = pairs.join(a, ["kind", "later"]).join(b, ["kind", "earlier"]).filter(less("a") == less("b"))
+    return found.join(verified.select(F.col("later").alias("rank")).distinct(), "rank", "left_semi").select("h1", "h2")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +162,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = materialize(occurrences(docs, doc_id, text), "lines")
     different = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     different = materialize(different, "different-lines")
-    near = materialize(_near(different.filter(F.size("keys") > 0), docs, doc_id, text), "near-lines")
+    near = materialize(_near(different, docs, doc_id, text), "near-lines")
     gone = different.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near")
     gone = gone.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hit = lines.select("doc_id", "content", "place", "h1", "h2").join(gone, ["h1", "h2"])

@@ -42,15 +42,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 op7_line_dedup = r"""
 WITH l AS (SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, unnest(range(len(ls))) AS place, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT doc_id, place, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM l),
-s AS (SELECT doc_id, place, ws, len(ws) AS n, array_to_string(ws, ' ') AS norm FROM w WHERE len(ws) > 0),
-f AS (SELECT norm, any_value(ws) AS ws, any_value(n) AS n, min({'d': doc_id, 'p': place}) AS first FROM s GROUP BY norm),
-v AS (SELECT norm, n, first, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
-m AS (SELECT norm, first, min(first) OVER (PARTITION BY v, i, n) AS earliest FROM v),
+w AS (SELECT doc_id, place, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
+s AS (SELECT doc_id, place, norm FROM w WHERE norm <> ''),
+f AS (SELECT norm, len(string_split(norm, ' ')) AS words, min({'d': doc_id, 'p': place}) AS first FROM s GROUP BY norm),
+u AS (SELECT norm, first, 'word' AS kind, words >= 8 AS emits, list_transform(string_split(norm, ' '), lambda x: hash(x)) AS units FROM f WHERE words >= 7
+  UNION ALL SELECT norm, first, 'letter', true, list_transform(range(1, length(norm) + 1), lambda i: hash(substr(norm, CAST(i AS INT), 1))) FROM f WHERE words <= 7),
+v AS (SELECT norm, first, kind, len(units) AS n, i, list_concat(units[1:i - 1], units[i + 1:]) AS v
+  FROM (SELECT *, unnest(range(1, len(units) + 1)) AS i FROM u WHERE emits)),
+h AS (SELECT norm, first, kind, n, i, md5(CAST(v AS VARCHAR)) AS v FROM v),
+m AS (SELECT norm, first, min(first) OVER (PARTITION BY kind, v, i, n) AS earliest FROM h),
+e AS (SELECT norm, first, kind, md5(CAST(units AS VARCHAR)) AS v FROM u),
 near AS (SELECT DISTINCT norm FROM (
   SELECT norm FROM m WHERE earliest < first
-  UNION ALL SELECT v.norm FROM v JOIN f ON f.norm = v.v AND f.n >= 8 WHERE f.first < v.first
-  UNION ALL SELECT f.norm FROM v JOIN f ON f.norm = v.v AND f.n >= 8 WHERE v.first < f.first)),
+  UNION ALL SELECT h.norm FROM h JOIN e ON e.kind = h.kind AND e.v = h.v WHERE e.first < h.first
+  UNION ALL SELECT e.norm FROM h JOIN e ON e.kind = h.kind AND e.v = h.v WHERE h.first < e.first)),
 gone AS (SELECT s.doc_id, s.place, (n2.norm IS NOT NULL AND f.first = {'d': s.doc_id, 'p': s.place}) AS near
   FROM s JOIN f ON s.norm = f.norm LEFT JOIN near n2 ON n2.norm = s.norm
   WHERE n2.norm IS NOT NULL OR f.first <> {'d': s.doc_id, 'p': s.place}),

@@ -65,7 +65,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines equal to an earlier line or one word apart from it; removed: their numbers, from 0."""
+    """Lines equal to an earlier line or one edit apart from it; removed: their numbers, from 0."""
     from .line_dedup import line_decisions
 
     found = line_decisions(read_table(spark, sf_dir, "documents"))
