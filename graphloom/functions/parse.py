@@ -60,7 +60,7 @@ def function_row(path: str, source: str, node: ast.FunctionDef, parent: str | No
     return {
         "file_path": path, "name": node.name, "parent_class": parent, "start_line": node.lineno, "end_line": node.end_lineno, "code": code, "docstring": ast.get_docstring(node),
         "return_type": None if node.returns is None else ast.unparse(node.returns), "parameters": _parameters(node.args), "imports": imports,
-        "calls": [{"name": name(c.func), "full_call": ast.unparse(c)[:200]} for c in sorted(calls, key=lambda c: (c.lineno, c.col_offset)) if name(c.func)],
+        "calls": [{"name": name(c.func), "full_call": ast.unparse(c)} for c in sorted(calls, key=lambda c: (c.lineno, c.col_offset)) if name(c.func)],
         "cyclomatic_complexity": 1 + branches + bools, "lines_of_code": sum(bool(x.strip()) for x in code.splitlines()), "token_count": len(code.split()), "branch_count": branches,
         "syntax_depth": max((d for _, d in nodes), default=0), "is_async": isinstance(node, ast.AsyncFunctionDef), "decorators": [ast.unparse(x) for x in node.decorator_list],
     }

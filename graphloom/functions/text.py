@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extension -> language, for the languages that extensions tell apart.
+# Extension -> language, for the languages that extensions tell apart.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".cs": "csharp", ".php": "php", ".sh": "bash", ".html": "html",
-    ".css": "css", ".json": "json", ".md": "markdown", ".sql": "sql",
+    ".py": "python", ".pyi": "python",
+    ".java": "java",
+    ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c++": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".h++": "cpp",
+    ".js": "javascript", ".jsx": "jsx", ".ts": "typescript", ".tsx": "typescript",
+    ".cs": "c_sharp", ".go": "go", ".rs": "rust", ".rb": "ruby",
+    ".php": "php", ".php3": "php", ".php4": "php", ".php5": "php", ".phtml": "php",
+    ".swift": "swift", ".scala": "scala", ".sc": "scala", ".lua": "lua", ".r": "r", ".R": "r",
+    ".ex": "elixir", ".exs": "elixir",
+    ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".fish": "bash",
+    ".proto": "proto", ".ql": "codeql", ".qll": "codeql", ".star": "starlark", ".bzl": "starlark",
+}
+# The languages of files that are indexed for search (extensions in any case, else unknown).
+INDEX_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp",
+    ".cs": "csharp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala",
 }
+# The languages of functions that are described (else python).
+DESCRIBED_LANGUAGES = {".py": "python", ".java": "java", ".c": "c", ".h": "c", ".js": "javascript", ".ts": "typescript"}
 
 
 def repo_name(url: Column) -> Column:
@@ -45,26 +62,51 @@ def language(path: Column, mapping: dict[str, str] | None = None, default: str =
     return F.coalesce(table[ext], F.lit(default))
 
 
+def _has(text: Column) -> Callable[[str], Column]:
+    return lambda part: F.contains(text, F.lit(part))
+
+
 def file_type(path: Column) -> Column:
-    """The first of these rules that holds."""
-    low = F.lower(path)
-    base = basename(low)
+    """The first of these rules that holds, in the path as it is."""
+    has = _has(path)
+    python = F.when(has("__init__.py"), "package_init").when(has("setup.py"), "setup").when(has("requirements"), "requirements").otherwise("module")
     return (
-        F.when(F.contains(low, F.lit("test")), "test").when(base == "__init__.py", "package_init").when(base == "setup.py", "setup")
-        .when(F.contains(base, F.lit("requirements")), "requirements").when(base.endswith(".py"), "module").when(base.rlike(r"\.(md|rst|txt)$"), "documentation")
-        .when(base.rlike(r"\.(json|ya?ml|toml|ini|cfg)$"), "configuration").otherwise("other")
+        F.when(path.endswith("_test.py") | has("test_"), "test").when(path.endswith(".py"), python)
+        .when(path.endswith(".md"), "documentation").when(path.endswith(".json"), "configuration").otherwise("other")
     )
 
 
 def function_type(name: Column, code: Column) -> Column:
     """The first of these rules that holds."""
-    has = lambda s: F.contains(code, F.lit(s))
+    has = _has(code)
     return (
-        F.when(name.startswith("test"), "test").when(name.startswith("__") & name.endswith("__"), "magic").when(name.startswith("_"), "private")
-        .when(has("async def"), "async").when(has("yield"), "generator").when(has("@") & has("def"), "decorated").otherwise("regular")
+        F.when(name.startswith("test"), "test").when(name.startswith("__") & name.endswith("__"), "magic_method").when(name.startswith("_"), "private")
+        .when(has("async def"), "async").when(has("yield"), "generator").when(has("@") & has("def"), "decorated")
+        .when(has("def ") & has("(") & has(")") & has("return"), "decorator").otherwise("regular")
     )
 
 
+def function_flags(kind: Column) -> dict[str, Column]:
+    """is_async, is_generator, is_decorator, is_test: the one that the type has won by."""
+    return {f"is_{name}": kind == name for name in ("async", "generator", "decorator", "test")}
+
+
+def content_type(name: Column, content: Column) -> Column:
+    """The type of a function that is indexed for search: the first of these rules that holds."""
+    has = _has(content)
+    return (
+        F.when(F.contains(F.lower(name), F.lit("test")), "test").when(has("async") | has("await"), "async").when(has("@") & has("def"), "decorator")
+        .when(has("class") & has("def"), "method").otherwise("regular")
+    )
+
+
+def content_flags(name: Column, content: Column) -> dict[str, Column]:
+    """is_async, is_test, is_decorator of a function that is indexed for search, each by a rule of its own."""
+    has = _has(content)
+    test = name.startswith("test_") | name.endswith("_test") | has("assert") | has("unittest")
+    return {"is_async": has("async def") | has("await"), "is_test": test, "is_decorator": has("@") & has("def")}
+
+
 def method_type(name: Column, code: Column) -> Column:
     return (
         F.when(name.startswith("__"), "magic").when(name.startswith("_"), "private").when(F.contains(code, F.lit("@staticmethod")), "static")
@@ -87,32 +129,38 @@ def heuristic_complexity(text: Column) -> Column:
 
 
 # Words in a name that make it important, by tier.
-TIERS = ((2.0, ("main", "init", "setup", "run")), (1.5, ("process", "handle", "execute")), (1.0, ("get", "set", "test", "calculate")))
+TIERS = ((2.0, ("main", "init", "setup", "config")), (1.5, ("get", "set", "create", "build")), (1.0, ("test", "check", "validate")))
+MAIN_GUARD = 'if __name__ == "__main__"'
 
 
-def heuristic_importance(name: Column, code: Column, parameters: Column) -> Column:
-    """The first tier of the name, a docstring, many parameters, a main guard."""
-    low, tier = F.lower(name), F
+def heuristic_importance(name: Column, code: Column) -> Column:
+    """The first tier of the name, quotes of a docstring, many parameters, a main guard."""
+    low, tier, parameters, has = F.lower(name), F, parameter_count(code), _has(code)
     for points, words in TIERS:
         tier = tier.when(low.rlike("|".join(words)), points)
-    doc = F.contains(code, F.lit('"""')) | F.contains(code, F.lit("'''"))
+    doc = has('"""') | has("'''")
     return (
         tier.otherwise(0.0) + F.when(doc, 1.0).otherwise(0.0) + F.when(parameters > 5, 1.0).when(parameters > 2, 0.5).otherwise(0.0)
-        + F.when(F.contains(code, F.lit("__main__")), 2.0).otherwise(0.0)
+        + F.when(has(MAIN_GUARD), 2.0).otherwise(0.0)
     )
 
 
 def parameter_count(code: Column) -> Column:
+    """Parts between commas, that are not blank, of the first parameter list."""
     inside = F.regexp_extract(code, r"def\s+\w+\s*\(([^)]*)\)", 1)
-    return F.size(F.filter(F.split(inside, ","), lambda x: F.trim(x) != "")).cast("long")
+    return F.size(F.filter(F.split(inside, ","), lambda x: ~x.rlike(r"^\s*$"))).cast("long")
 
 
 def return_type(code: Column) -> Column:
-    return F.trim(F.regexp_extract(code, r"\)\s*->\s*([^:\n]+):", 1))
+    """The name behind the first arrow that has one; empty if there is none."""
+    return F.regexp_extract(code, r"->\s*(\w+)", 1)
 
 
 def docstring(code: Column) -> Column:
-    return F.trim(F.regexp_extract(code, r'(?s)"""(.*?)"""', 1))
+    """The first text in three double quotes without a double quote in it, else in three single ones; empty if none."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    double, single = (F.regexp_extract(code, f"{q}{q}{q}([^{q}]*){q}{q}{q}", 1) for q in ('"', "'"))
+    return F.when(_has(code)('"""'), strip(double)).otherwise(strip(single))
 
 
 def comment_summary(comment: Column) -> Column:
@@ -120,13 +168,6 @@ def comment_summary(comment: Column) -> Column:
     return F.substring(F.regexp_replace(comment, r"^[/#*\s]+|[*/\s]+$", ""), 1, 50)
 
 
-def context_summary(path: Column, parent_class: Column, imports: Column) -> Column:
-    """File, class and two imports; nulls are left out."""
-    some = F.when(F.size(imports) > 0, F.concat(F.lit("imports: "), F.array_join(F.slice(imports, 1, 2), ", ")))
-    parts = F.concat_ws(" | ", F.concat(F.lit("file: "), basename(path)), F.concat(F.lit("class: "), parent_class), some)
-    return F.when(parts == "", "standalone function").otherwise(parts)
-
-
 def embedding_text(**parts: Column) -> Column:
     """Labelled lines; nulls are left out."""
     return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in parts.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.session import discard, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
     """node, component: the smallest node that each node of an edge can reach.
 
     Alternates two steps until no edge changes. In the large step every node links its larger neighbours to its
@@ -37,5 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("v", "node").alias("component"))

@@ -44,9 +44,15 @@ def changes(old: DataFrame, new: DataFrame, key: str = "path", mark: str = "hash
     return o.join(n, key, "full_outer").select(key, kind.alias("change")).filter("change is not null")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows whose keys are not among the new, and the new rows; of new rows of a key any one."""
-    fresh = new.dropDuplicates(keys)
+def newest(df: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """One row for each key: that with the largest version (null the least), ties to the largest row, whatever the order of the input."""
+    rank = F.struct(*([F.col(version)] if version else []), *[F.to_json(F.struct(F.col(c))) for c in df.columns if c not in keys])
+    return df.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct("*"), rank).alias("row")).select("row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """The old rows whose keys are not among the new, and of the new rows the newest of each key."""
+    fresh = newest(new, keys, version)
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .callgraph import degrees
+from .ranges import running_total
 
 
 def group_metrics(functions: DataFrame, by: str) -> DataFrame:
@@ -86,17 +87,16 @@ def duplicate_names(functions: DataFrame) -> DataFrame:
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
-def population_statistics(df: DataFrame, column: str, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """One row over positive values: n, mean, std (sample, 0 if n < 2), min, max, and quantiles by floor index.
+def floor_quantiles(values: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """One row: for each quantile the value (column v) at place floor(n * q) of the sorted values, from counts of different values."""
+    counts = values.groupBy("v").agg(F.count("*").alias("c"))
+    upto = running_total(counts, [F.col("v")], F.col("c"), "upto")
+    n = values.count()
+    return upto.agg(*[F.min(F.when(F.col("upto") > int(n * q), F.col("v"))).alias(name) for name, q in quantiles.items()])
+
 
-    The quantiles come from counts of different values, so no task sorts more than those.
-    """
-    quantiles = quantiles or QUANTILES
+def population_statistics(df: DataFrame, column: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """One row over positive values: n, mean, std (sample, 0 if n < 2), min, max, and quantiles by floor index."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v > 0")
     basic = values.agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    n = values.count()
-    from pyspark.sql import Window
-
-    running = values.groupBy("v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    picks = running.agg(*[F.min(F.when(F.col("upto") > int(n * q), F.col("v"))).alias(name) for name, q in quantiles.items()])
-    return basic.crossJoin(picks)
+    return basic.crossJoin(floor_quantiles(values, quantiles or QUANTILES))  # one row by one row

@@ -15,10 +15,10 @@ LEVELS = ((20, "Critical"), (15, "High"), (10, "Medium"), (5, "Low"), (None, "Mi
 HYBRID = {"pagerank": 0.4, "traditional": 0.4, "complexity": 0.2}
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100, rounds: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 1000, rounds: int | None = None) -> DataFrame:
     """id, rank over distinct edges; the mass of nodes without callees is spread evenly.
 
-    nodes: id. Stops when all ranks together move by less than tolerance * nodes, or after `rounds` if given. Each round
+    nodes: id. Stops when all ranks together move by less than tolerance * nodes, or after `rounds` if given; ranks that do not settle in max_rounds are an error. Each round
     is one join and one aggregate on the edges, which are partitioned once, and is written to the shared folder.
     """
     e = edges.select("src", "dst").distinct()
@@ -40,6 +40,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         ranks = fresh.drop("before")
         if rounds is None and moved < tolerance * n:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
     return ranks.select("id", "rank")
 
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HOMES: set[str] = set()
+
+
 def get_session(app: str = "graphloom", **conf: str) -> SparkSession:
     """A session with the settings the library relies on; the cluster's own settings win where they are given."""
     builder = SparkSession.builder.appName(app)
@@ -25,10 +28,13 @@ def get_session(app: str = "graphloom", **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor and the driver can reach.
 
-    A folder of this machine is set only where the session names none, as in local tests.
+    A folder of this machine is set only where the session names none and the master is local, as in tests; on a cluster
+    it is an error to name none, for no other machine could read that folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,8 +43,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, under a folder of the application, which goes when the application ends."""
+    home = f"{shared_root(spark)}/graphloom/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+        _HOMES.add(home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

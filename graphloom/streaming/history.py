@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.operators.hybrid import changes
-from graphloom.session import materialize, shared_path
+from graphloom.operators.hybrid import changes, newest
+from graphloom.session import discard, materialize, shared_path
 
 
 def read_history(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", files_per_batch: int = 8) -> DataFrame:
@@ -50,17 +50,29 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def reindex_batches(stream: DataFrame, index: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], key: str = "path", mark: str = "hash"):
-    """A writer that, for each batch of (key, mark, ...), replaces in the index the rows that are new or changed."""
+def reindex_batches(stream: DataFrame, index: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], key: str = "path", mark: str = "hash", version: str | None = None):
+    """A writer that, for each batch of (key, mark, ...), replaces in the index the rows that are new or changed.
+
+    Of a batch's rows of one key the one with the largest version counts. The table that an earlier batch wrote is
+    deleted when its successor is saved.
+    """
+    written: list[DataFrame] = []
+
+    def replace(rows: DataFrame) -> None:
+        table = materialize(rows, "index")
+        save(table)
+        for before in written:
+            discard(before)
+        written[:] = [table]
 
     def put(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates([key])
+        batch = newest(batch, [key], version)
         old = index()
         if old is None:
-            save(materialize(batch, "index"))
+            replace(batch)
             return
         wanted = changes(old, batch, key, mark).filter("change != 'deleted'")
         fresh = batch.join(wanted.select(key), key, "left_semi")
-        save(materialize(old.join(fresh.select(key), key, "left_anti").unionByName(fresh), "index"))
+        replace(old.join(fresh.select(key), key, "left_anti").unionByName(fresh))
 
     return stream.writeStream.foreachBatch(put)
