@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.arrays import let
 from graphloom.session import materialize
 
 from .ranks import numbered
@@ -35,23 +36,30 @@ from .text import whole
 
 #: Words that the longer of two lines has at least for the unit to be a word.
 MIN_WORDS = 8
-#: Texts in which this is found have more than one space between words, or other spaces.
-_ODD = "[\\x09\\x0B-\\x0D]|\\x20\\x20|\\x20\\n|\\n\\x20"
+#: Spaces other than the common one that a line may have.
+_SPACES = ("\t", "\x0b", "\x0c", "\r")
 
 
 def _split(text: Column) -> Column:
     return F.split(whole(text), "\n")
 
 
-def normal_lines(text: Column) -> Column:
-    """The lines of a text in lower case, with one space for each run of spaces; those at the ends are yet to be trimmed."""
-    low = F.lower(whole(text))
-    return F.split(F.when(low.rlike(_ODD), F.regexp_replace(low, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(low), "\n")
+def _single_spaced(low: Column) -> Column:
+    """One space for each run of spaces in a line; most have only single ones."""
+    odd = F.contains(low, F.lit("  "))
+    for space in _SPACES:
+        odd = odd | F.contains(low, F.lit(space))
+    return F.when(odd, F.regexp_replace(low, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(low)
+
+
+def normal(line: Column) -> Column:
+    """A line in lower case, with one space between words."""
+    return F.trim(_single_spaced(F.lower(line)))
 
 
 def _count(line: Column) -> Column:
     """Words of a line with one space between them."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def halves(line: Column, n: Column) -> Column:
@@ -71,8 +79,8 @@ def halves(line: Column, n: Column) -> Column:
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, content, place, h1, h2 (hashes of the line), keys: a row for each line that has a word."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(normal_lines(F.col(text))).alias("place", "line"))
-    rows = rows.select("doc_id", "content", "place", F.trim("line").alias("line")).filter("line != ''").withColumn("n", _count(F.col("line")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(_split(F.lower(F.col(text)))).alias("place", "line"))
+    rows = rows.select("doc_id", "content", "place", F.trim(_single_spaced(F.col("line"))).alias("line")).filter("line != ''").withColumn("n", _count(F.col("line")))
     return rows.select("doc_id", "content", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), halves(F.col("line"), F.col("n")).alias("keys"))
 
 
@@ -98,8 +106,8 @@ def _texts(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     wanted = ranked.groupBy("first.doc_id", "first.content").agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "rank", "h1", "h2")).alias("wanted")).alias("w")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole(F.col(text))).alias("content")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.content") == F.col("w.content"))
-    found = texts.join(wanted, same).select(normal_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("at"))
-    found = found.select("at.rank", "at.h1", "at.h2", F.trim(F.get("lines", F.col("at.place"))).alias("line"))
+    picked = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["rank"].alias("rank"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get(lines, x["place"]).alias("line"))))
+    found = texts.join(wanted, same).select(F.explode(picked).alias("at")).select("at.rank", "at.h1", "at.h2", normal(F.col("at.line")).alias("line"))
     return found.dropDuplicates(["rank"])
 
 
