@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import read_table
+from graphloom.session import materialize, read_table
 
 from . import oracles
 
@@ -20,11 +20,12 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed patterns, and random strings by models trained on what the patterns find and on ordinary words."""
-    from .secrets import labelled_samples, scan, spelled, train
+    """Fixed patterns, and random strings by models trained on what the patterns find and on ordinary names."""
+    from .secrets import judged, labelled_samples, spans, spelled, train
 
     docs = read_table(spark, sf_dir, "documents")
-    found = scan(docs, train(labelled_samples(docs)))
+    marks = materialize(spans(docs), "spans")
+    found = judged(marks, train(labelled_samples(docs, marks)))
     counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
     return found.select(
         "doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
