@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
     """For each element, op over all elements before it (zero for the first), in n * sqrt(n) steps for n elements.
 
-    An array that grows by one element is copied each time, so results are made in blocks of the square root of n.
+    zero must change nothing under op. An array that grows by one element is copied each time, so results are made in blocks of the square root of n.
     """
 
     def inside(block: Column, start: Column) -> Column:

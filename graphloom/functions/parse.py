@@ -1,20 +1,27 @@
-"""Functions, classes, imports and calls of Python sources, by the standard library's parser.
+"""Functions, classes, imports and calls of sources.
 
-Only Python is parsed. Files of other languages, and those that do not parse, give no rows.
+Python is parsed by the standard library; a file that does not parse gives no rows. Languages with braces are read by
+`braces`. Files of other languages give no rows.
 """
 
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import braces
+from .structure import SCRIPTS, no_script_function
+from .text import language
+
 FUNCTION = """file_path string, name string, parent_class string, start_line int, end_line int, code string, docstring string, return_type string,
 parameters array<struct<name:string,type:string,default:string>>, imports array<string>, calls array<struct<name:string,full_call:string>>,
-cyclomatic_complexity int, lines_of_code int, token_count int, branch_count int, syntax_depth int, is_async boolean, decorators array<string>"""
+cyclomatic_complexity int, lines_of_code int, token_count int, branch_count int, syntax_depth int, is_async boolean, decorators array<string>, comments array<string>"""
 CLASS = "file_path string, class_name string, bases array<string>, start_line int, end_line int, methods array<string>"
 
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
@@ -50,8 +57,22 @@ def _parameters(args: ast.arguments) -> list[dict]:
     return [{"name": a.arg, "type": text(a.annotation), "default": text(d)} for a, d in rows]
 
 
-def function_row(path: str, source: str, node: ast.FunctionDef, parent: str | None, imports: list[str]) -> dict:
+def comments_of(source: str) -> list[tuple[int, str, bool]]:
+    """Line, text and whether nothing else is on the line, of the comments of a Python source, as far as it can be read."""
+    found = []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(source).readline):
+            if t.type == tokenize.COMMENT:
+                found.append((t.start[0], t.string, not t.line[: t.start[1]].strip()))
+    except (tokenize.TokenError, IndentationError, SyntaxError):
+        pass
+    return found
+
+
+def function_row(path: str, source: str, node: ast.FunctionDef, parent: str | None, imports: list[str], comments: list[tuple[int, str, bool]] = ()) -> dict:
     code = ast.get_source_segment(source, node) or ""
+    first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+    before = [text for line, text, alone in comments if alone and line == first - 1]
     nodes = list(_own(node))
     branches = sum(isinstance(n, _BRANCHES) for n, _ in nodes)
     bools = sum(len(n.values) - 1 for n, _ in nodes if isinstance(n, ast.BoolOp))
@@ -63,22 +84,28 @@ def function_row(path: str, source: str, node: ast.FunctionDef, parent: str | No
         "calls": [{"name": name(c.func), "full_call": ast.unparse(c)} for c in sorted(calls, key=lambda c: (c.lineno, c.col_offset)) if name(c.func)],
         "cyclomatic_complexity": 1 + branches + bools, "lines_of_code": sum(bool(x.strip()) for x in code.splitlines()), "token_count": len(code.split()), "branch_count": branches,
         "syntax_depth": max((d for _, d in nodes), default=0), "is_async": isinstance(node, ast.AsyncFunctionDef), "decorators": [ast.unparse(x) for x in node.decorator_list],
+        "comments": before + [text for line, text, _ in comments if node.lineno <= line <= node.end_lineno],
     }
 
 
 def parse_source(path: str, source: str) -> tuple[list[dict], list[dict]]:
     """Function rows and class rows of one file, in the order of their lines."""
+    kind = braces.language_of(path)
+    if kind in braces.BRACED:
+        return braces.parse(path, source, kind)
+    if kind != "python":
+        return [], []
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [], []
-    imports, functions, classes = imports_of(tree), [], []
+    imports, functions, classes, comments = imports_of(tree), [], [], comments_of(source)
     left: list[tuple[ast.AST, str | None]] = [(tree, None)]
     while left:
         node, parent = left.pop()
         for child in ast.iter_child_nodes(node):
             if isinstance(child, _DEFS):
-                functions.append(function_row(path, source, child, parent, imports))
+                functions.append(function_row(path, source, child, parent, imports, comments))
                 left.append((child, parent))
             elif isinstance(child, ast.ClassDef):
                 methods = [x.name for x in child.body if isinstance(x, _DEFS)]
@@ -102,8 +129,12 @@ def _parse(which: int):
 
 
 def functions_of(files: DataFrame) -> DataFrame:
-    """Function rows of files (path, content as text), and seq: their place by path and line."""
+    """Function rows of files (path, content as text), and seq: their place by path and line.
+
+    JavaScript names that are members of globals, quoted or deep are left out.
+    """
     rows = files.select("path", "content").mapInPandas(_parse(0), FUNCTION)
+    rows = rows.filter(~(language(F.col("file_path")).isin(*SCRIPTS, "jsx", "tsx") & no_script_function(F.col("name"))))
     return rows.withColumn("seq", F.concat_ws(":", "file_path", F.lpad(F.col("start_line").cast("string"), 9, "0")))
 
 
@@ -123,6 +154,11 @@ def large_functions(functions: DataFrame, least: int = 200) -> DataFrame:
     return functions.filter(F.col("lines_of_code") > least)
 
 
+def large_function_counts(functions: DataFrame, least: int = 200) -> DataFrame:
+    """One row: n_before and n_after the choice of large functions."""
+    return functions.agg(F.count("*").alias("n_before"), F.count_if(F.col("lines_of_code") > least).alias("n_after"))
+
+
 def complexity_of(functions: DataFrame) -> DataFrame:
     """The functions with their measures in one struct, and the score of complexity times lines over ten."""
     score = (F.col("cyclomatic_complexity") * F.col("lines_of_code") / F.lit(10.0)).alias("complexity_score")
@@ -133,17 +169,19 @@ def complexity_of(functions: DataFrame) -> DataFrame:
 def bodies_by_indent(files: DataFrame) -> DataFrame:
     """path, name, start_line, body of each Python function by indentation alone, also where the file does not parse.
 
-    A body ends before the first later line that is not blank and is indented no deeper than its `def`.
+    A body ends before the first later line that is not blank and is indented no deeper than its `def`. Each text is
+    split once, and a body looks only at the lines after its own head.
     """
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("no", "line"))
-    indent = F.when(F.trim("line") != "", F.length("line") - F.length(F.ltrim("line")))
-    lines = lines.withColumn("indent", indent)
-    heads = lines.filter(F.col("line").rlike(r"^\s*(async )?def\s+\w+\s*\(")).select("path", F.col("no").alias("first"), F.col("indent").alias("depth"), F.regexp_extract("line", r"def\s+(\w+)", 1).alias("name"))
-    later = heads.join(lines, "path").filter((F.col("no") > F.col("first")) & (F.col("indent") <= F.col("depth")))
-    ends = later.groupBy("path", "first").agg(F.min("no").alias("stop"))
-    bounded = heads.join(ends, ["path", "first"], "left").join(files.select("path", F.split("content", "\n").alias("ls")), "path")
-    size = F.coalesce(F.col("stop"), F.size("ls")) - F.col("first")
-    return bounded.select("path", "name", (F.col("first") + 1).alias("start_line"), F.regexp_replace(F.array_join(F.slice("ls", F.col("first") + 1, size), "\n"), r"\s+$", "").alias("body"))
+    lines = files.select("path", F.split("content", "\n").alias("ls"))
+    indent = lambda x: F.when(F.trim(x) != "", F.length(x) - F.length(F.ltrim(x)))
+    lines = lines.withColumn("depths", F.transform("ls", indent))
+    heads = lines.select("path", "ls", "depths", F.posexplode("ls").alias("first", "line")).filter(F.col("line").rlike(r"^\s*(async )?def\s+\w+\s*\("))
+    depth = F.get("depths", F.col("first"))
+    after = F.slice("depths", F.col("first") + 2, F.size("ls"))
+    stop = F.array_position(F.transform(after, lambda x: F.coalesce(x <= depth, F.lit(False))), True).cast("int")
+    size = F.when(stop > 0, stop).otherwise(F.size("ls") - F.col("first"))
+    body = F.regexp_replace(F.array_join(F.slice("ls", F.col("first") + 1, size), "\n"), r"\s+$", "")
+    return heads.select("path", F.regexp_extract("line", r"def\s+(\w+)", 1).alias("name"), (F.col("first") + 1).alias("start_line"), body.alias("body"))
 
 
 def last_of_name(functions: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ def named_lines(text: Column, pattern: str, groups: int = 1) -> Column:
 
     def placed(found: Column) -> Column:
         gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), breaks)
-        before = running(F.zip_with(gaps, found, lambda g, m: g + breaks(m)), F.lit(1), lambda a, b: a + b)
-        lines = F.zip_with(gaps, before, lambda g, n: g + n)
+        before = running(F.zip_with(gaps, found, lambda g, m: g + breaks(m)), F.lit(0), lambda a, b: a + b)
+        lines = F.zip_with(gaps, before, lambda g, n: g + n + 1)
         return F.zip_with(found, lines, lambda m, line: F.struct(name(m).alias("name"), line.cast("int").alias("line")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)

@@ -55,6 +55,26 @@ def vector_of(vectors: DataFrame, vec_id: int) -> list[float] | None:
     return None if row is None else list(row[0])
 
 
+def similar_to(vectors: DataFrame, vec_id: int, k: int = 10, threshold: float = 0.3, name: str = "name") -> DataFrame:
+    """vec_id, score, rnk of the k vectors most similar to that of an id, without those of the same name; none if it is unknown."""
+    row = vectors.filter(F.col("vec_id") == vec_id).select("embedding", name).first()
+    others = vectors.filter(F.lit(False) if row is None else ~F.col(name).eqNullSafe(F.lit(row[name])))
+    return top_k(others, [0.0] if row is None else list(row["embedding"]), k, threshold=threshold)
+
+
+def hashed_search(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 8, width: float = 2.0, seed: int = 42) -> DataFrame:
+    """vec_id, score of the k best inner products among the vectors that share a random projection's bucket with the query."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.linalg import Vectors
+
+    data = vectors.select("vec_id", doubles(F.col("embedding")).alias("v"), array_to_vector(doubles(F.col("embedding"))).alias("features")).filter("v is not null")
+    if data.isEmpty():
+        return data.select("vec_id", F.lit(0.0).alias("score"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed).fit(data)
+    near = model.approxNearestNeighbors(data, Vectors.dense(query), 20 * k)
+    return near.select("vec_id", dot(F.col("v"), literal(query)).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, cells: int = 16, seed: int = 42) -> DataFrame:
     """a, b (a < b), score of every two vectors of a cosine of at least the threshold.
 

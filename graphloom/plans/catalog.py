@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,37 +10,10 @@ from graphloom.functions import text as T
 from graphloom.operators import callgraph as G
 from graphloom.operators import centrality, complexity, filters, hybrid, metrics, ranking, vectors
 from graphloom.operators.components import connected_components
+from graphloom.plans import features, insights  # noqa: F401 - their queries are registered on import
+from graphloom.plans.registry import oracle_sql, queries, query  # noqa: F401 - the driver contract reads them here
 from graphloom.session import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *, tables: bool = True) -> Callable[[Query], Query]:
-    """Register a function as a query of its name, with its SQL over the canonical tables."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            head = f"WITH RECURSIVE {A.SQL}" if tables else ""
-            _SQL[f.__name__] = f"{head}, {body[5:]}" if tables and body.upper().startswith("WITH ") else f"{head} {body}"
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    """Every query by name."""
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL by query."""
-    return dict(_SQL)
-
-
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return G.distinct_edges(A.calls(spark, d))
 
@@ -513,7 +484,16 @@ def r9_complexity_score(spark, d):
     return complexity.scored(A.functions(spark, d))
 
 
-@query()
+_ADAPTIVE = """w AS (SELECT CASE WHEN max(cyclomatic_complexity) FILTER (WHERE cyclomatic_complexity > 0) - min(cyclomatic_complexity) FILTER (WHERE cyclomatic_complexity > 0) > 20 THEN 0.5::DOUBLE
+  WHEN max(cyclomatic_complexity) FILTER (WHERE cyclomatic_complexity > 0) - min(cyclomatic_complexity) FILTER (WHERE cyclomatic_complexity > 0) > 10 THEN 0.4 ELSE 0.3 END AS c,
+  CASE WHEN stddev_samp(lines_of_code) FILTER (WHERE lines_of_code > 0) > 50 THEN 0.02::DOUBLE WHEN stddev_samp(lines_of_code) FILTER (WHERE lines_of_code > 0) > 20 THEN 0.015 ELSE 0.01 END AS l,
+  CASE WHEN stddev_samp(branch_count) FILTER (WHERE branch_count > 0) > 10 THEN 0.35::DOUBLE WHEN stddev_samp(branch_count) FILTER (WHERE branch_count > 0) > 5 THEN 0.3 ELSE 0.25 END AS b,
+  CASE WHEN stddev_samp(parameters) FILTER (WHERE parameters > 0) > 5 THEN 0.15::DOUBLE WHEN stddev_samp(parameters) FILTER (WHERE parameters > 0) > 2 THEN 0.1 ELSE 0.05 END AS p FROM functions)"""
+
+
+@query(f"""WITH {_ADAPTIVE}, s AS (SELECT id, round(cyclomatic_complexity * (c / (c + l + b + p)) + lines_of_code * (l / (c + l + b + p)) + branch_count * (b / (c + l + b + p)) + parameters * (p / (c + l + b + p)), 6) AS score, {_SCORE} AS fixed FROM functions, w),
+q AS (SELECT list_sort(list(fixed)) AS f, count(*) AS n FROM s)
+SELECT id, score, CASE WHEN score <= f[n // 4 + 1] THEN 'simple' WHEN score <= f[3 * n // 4 + 1] THEN 'moderate' ELSE 'complex' END AS level FROM s, q""")
 def r10_adaptive_complexity(spark, d):
     return complexity.adaptive(A.functions(spark, d))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
@@ -25,24 +24,43 @@ class SearchRequest:
     filter_mode: str = "pre"
 
 
-def inferred_filters(query: str) -> dict[str, str]:
-    """Filters that a query's own words ask for: name, file, type, class."""
-    found = {}
-    for key, pattern in (("name", r"\bfunction (?:named |called )?(\w+)"), ("file_path", r"\bin (?:file )?([\w/]+\.\w+)"), ("parent_class", r"\bclass (\w+)")):
-        if m := re.search(pattern, query):
-            found[key] = m[1]
-    for kind in ("test", "async", "decorator"):
-        if re.search(rf"\b{kind}\b", query.lower()):
-            found["function_type"] = kind
-            break
-    return found
+# Words of a query that ask for a kind of filter.
+ASKS = {
+    "name": ("function", "method", "def"), "file_path": ("file", "path", "module"), "hard": ("complex", "difficult", "hard"), "easy": ("simple", "easy", "basic"),
+    "test": ("test", "testing"), "async": ("async", "await"), "decorator": ("decorator", "decorate"), "parent_class": ("class", "object", "instance"),
+}
+
+
+def inferred_filters(query: str) -> dict[str, str | float]:
+    """Filters that a query's own words ask for: name, file_path, function_type, parent_class, min_complexity or max_complexity."""
+    low, words, found = query.lower(), query.split(), {}
+    asked = {kind: any(w in low for w in some) for kind, some in ASKS.items()}
+    first = lambda good: next((w for w in words if good(w)), None)
+    picks = {
+        "name": lambda w: w.isidentifier() and w.lower() not in (*ASKS["name"], "class"),
+        "file_path": lambda w: "/" in w or "." in w,
+        "parent_class": lambda w: w[0].isupper() and w.isidentifier(),
+    }
+    for kind, good in picks.items():
+        if asked[kind] and (word := first(good)):
+            found[kind] = word
+    if asked["hard"]:
+        found["min_complexity"] = 5.0
+    elif asked["easy"]:
+        found["max_complexity"] = 3.0
+    kind = next((k for k in ("test", "async", "decorator") if asked[k]), None)
+    return found | ({"function_type": kind} if kind else {})
 
 
 class Searcher:
-    """Searches a table of id, content, filepath, language, embedding; embed turns a query into a vector."""
+    """Searches a table of id, content, filepath, language, embedding; embed turns a query into a vector.
+
+    rerank: takes a query and the found rows and returns them with another score, for requests of kind `ai`; without it
+    their order stays.
+    """
 
-    def __init__(self, table: DataFrame, embed=None, remembered: int = 100) -> None:
-        self.table, self.embed, self.remembered = table, embed, remembered
+    def __init__(self, table: DataFrame, embed=None, remembered: int = 100, rerank=None) -> None:
+        self.table, self.embed, self.remembered, self.rerank = table, embed, remembered, rerank
         self.cache: OrderedDict[SearchRequest, DataFrame] = OrderedDict()
         self.history: list[tuple[str, str]] = []
 
@@ -56,11 +74,25 @@ class Searcher:
                 self.cache.popitem(last=False)
         return self.cache[key]
 
+    def by_example(self, code: str, top_k: int = 10, threshold: float = 0.0) -> DataFrame:
+        """The rows most similar to a piece of code."""
+        return self.search(SearchRequest(code, "semantic", top_k, threshold))
+
+    def by_signature(self, name: str, parameters: list[str] | None = None, returns: str | None = None, top_k: int = 10) -> DataFrame:
+        """The rows most similar to a function's name, parameters and return type in words."""
+        parts = [f"function {name}", *([f"parameters: {', '.join(parameters)}"] if parameters else []), *([f"returns: {returns}"] if returns else [])]
+        return self.search(SearchRequest(" ".join(parts), "semantic", top_k))
+
+    def with_graph_hits(self, found: DataFrame, hits: DataFrame) -> DataFrame:
+        """Found rows and those that only the graph knows (id, filepath, ...), which have score 0 and no embedding or highlights."""
+        fresh = hits.join(found.select("id"), "id", "left_anti").withColumn("score", F.lit(0.0))
+        return found.unionByName(fresh, allowMissingColumns=True)
+
     def _plan(self, request: SearchRequest) -> DataFrame:
         rows = self.table
         if request.filter_mode == "pre" and request.filters:
             rows = metadata(rows, 2**31 - 1, ["id"], "pre", **request.filters)
-        semantic = request.kind in ("semantic", "hybrid") and self.embed is not None
+        semantic = request.kind in ("semantic", "hybrid", "ai") and self.embed is not None
         parts = []
         if semantic:
             found = vectors.top_k(rows.select(F.col("id").alias("vec_id"), "embedding"), self.embed(request.query), 2 * request.top_k, threshold=request.threshold)
@@ -70,7 +102,10 @@ class Searcher:
             parts.append(rows.select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * request.top_k))
         best = merge(parts[0], parts[1], ["id"]).select("id", F.col("combined_score").alias("score")) if len(parts) == 2 else parts[0]
         best = best.orderBy(F.desc("score"), "id").limit(request.top_k)
-        out = best.join(self.table, "id").withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("int"))
+        out = best.join(self.table, "id")
+        if request.kind == "ai" and self.rerank is not None:
+            out = self.rerank(request.query, out)
+        out = out.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("int"))
         if request.filter_mode == "post" and request.filters:
             out = metadata(out, request.top_k, ["rnk"], "post", **request.filters)
         return out.select("id", "score", "rnk", "filepath", "language", T.highlights(F.col("content"), request.query).alias("highlights"))

