@@ -10,7 +10,8 @@ name only when it is whole, so a task that runs again puts the same files in pla
 
 Edge cases: a null payload is empty; a null URL leaves WARC-Target-URI out; control characters in a URL are
 percent-encoded; a null id leaves X-Page-ID out, and such a page is a response unless a page with an id has its
-payload; rows that repeat the smallest id of a payload are each a response; an empty table gives no archive.
+payload; rows that repeat the smallest id of a payload are each a response; an empty table gives no archive. A record of
+more than `most` bytes (1 GiB) is refused with BadRecord when it is read.
 Only the three named columns are read, so others cannot clash.
 """
 
@@ -68,9 +69,12 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     found = {}
     for line in lines:
         name, colon, value = line.partition(b":")
-        if not colon or not name or name.strip() != name:
-            raise BadRecord(f"not a header field: {line[:80]!r}")
-        found[name.decode("ascii").lower()] = value.strip().decode()
+        try:
+            if not colon or not name or name.strip() != name:
+                raise BadRecord(f"not a header field: {line[:80]!r}")
+            found[name.decode("ascii").lower()] = value.strip().decode()
+        except UnicodeDecodeError as e:
+            raise BadRecord(f"not a header field: {line[:80]!r}") from e
     return found
 
 
@@ -109,19 +113,21 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return VERSION + b"\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes], dictionary_bytes: int = 16_384, samples: int = 256, level: int = 3) -> bytes:
-    """An archive of the records; its dictionary is trained on the first of them, which affects its size alone."""
-    trained, out = None, []
-    if len(records) >= 16:
-        try:
-            trained = zstandard.train_dictionary(dictionary_bytes, [r[:8192] for r in records[:samples]])
-        except zstandard.ZstdError:  # too little to learn from
-            trained = None
-    if trained is not None:
-        body = trained.as_bytes()
-        out += [struct.pack("<II", DICTIONARY_FRAME, len(body)), body]
-    packer = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True, write_content_size=True)
-    return b"".join([*out, *map(packer.compress, records)])
+def dictionary(records: list[bytes], size: int = 16_384, samples: int = 256) -> bytes:
+    """A dictionary trained on the first records, or the first of them itself where there is too little to learn from."""
+    try:
+        if len(records) >= 16:  # the trainer takes no fewer
+            return zstandard.train_dictionary(size, [r[:8192] for r in records[:samples]]).as_bytes()
+    except zstandard.ZstdError:
+        pass
+    return records[0][:size]
+
+
+def archive(records: list[bytes], level: int = 3) -> bytes:
+    """An archive of the records: the frame of the dictionary, which affects its size alone, and a frame for each record."""
+    body = dictionary(records)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(body), write_checksum=True, write_content_size=True)
+    return b"".join([struct.pack("<II", DICTIONARY_FRAME, len(body)), body, *map(packer.compress, records)])
 
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, roll_bytes: int, date: str) -> Iterator[pa.RecordBatch]:
@@ -136,6 +142,8 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, roll_bytes: int, date
         name = f"{root}/{part:06d}-{number:05d}.warc.zst"
         with store.open_output_stream(f"{root}/_{part}-{number}-{attempt}.tmp") as out:
             out.write(archive(held))
+        if store.get_file_info(name).type != fs.FileType.NotFound:  # some stores do not replace a file that a lost task left
+            store.delete_file(name)
         store.move(f"{root}/_{part}-{number}-{attempt}.tmp", name)
         done.append((name.rsplit("/", 1)[1], len(held)))
         held, size, number = [], 0, number + 1
@@ -220,6 +228,9 @@ def read_frames(content: bytes, most: int = 1 << 30) -> Iterator[bytes]:
             at += 8 + size
         elif magic == FRAME:
             end = frame_end(data, at)
+            stated = zstandard.get_frame_parameters(data[at : at + 18]).content_size
+            if most < stated < zstandard.CONTENTSIZE_ERROR:  # the two largest numbers mean unknown and error
+                raise BadRecord(f"a record of {stated} bytes")
             try:
                 yield zstandard.ZstdDecompressor(dict_data=dictionary).decompress(data[at:end], max_output_size=most)
             except zstandard.ZstdError as e:

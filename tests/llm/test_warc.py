@@ -55,9 +55,30 @@ def test_frames_one_by_one():
             list(W.read_frames(bad))
 
 
+@pytest.mark.parametrize("n", [1, 2, 15, 16])
+def test_every_archive_has_a_dictionary(n):
+    records = [page(i, b"") for i in range(n)]
+    data = W.archive(records)
+    assert struct.unpack_from("<I", data)[0] == W.DICTIONARY_FRAME and struct.unpack_from("<I", data, 4)[0] > 0
+    assert list(W.read_frames(data)) == records
+
+
+def test_a_file_that_a_lost_task_left_is_replaced(spark):
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    folder = shared_path(spark, "warc")
+    names = [r.archive for r in W.write_archives(df, folder).collect()]
+    assert [r.archive for r in W.write_archives(df, folder).collect()] == names
+    assert W.read_archives(spark, folder).count() == 1
+
+
+def test_a_record_above_the_limit_is_refused():
+    with pytest.raises(W.BadRecord):
+        list(W.read_frames(W.archive([page(1, b"x" * 5000)]), most=1000))
+
+
 @pytest.mark.parametrize(
     ("old", "new"),
-    [(b"WARC/1.1", b"WARC/9"), (b"WARC-Type: response\r\n", b""), (b"WARC-Date", b"WARC Date"), (b"Content-Length: ", b"Content-Length: 9"), (b"<html>", b"<HTML>"), (b"Content-Length: ", b"Content-Length: x"), (b"WARC-Record-ID: <", b"<")],
+    [(b"WARC/1.1", b"WARC/9"), (b"WARC-Type: response\r\n", b""), (b"WARC-Date", b"WARC Date"), (b"Content-Length: ", b"Content-Length: 9"), (b"<html>", b"<HTML>"), (b"Content-Length: ", b"Content-Length: x"), (b"WARC-Record-ID: <", b"<"), (b"WARC-Date: ", b"WARC-Date: \xff"), (b"WARC-Date", b"WARC-D\xe9te")],
 )
 def test_broken_records_are_refused(old, new):
     good = page(1, b"<html>x</html>")
