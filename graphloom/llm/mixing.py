@@ -77,32 +77,43 @@ def fill_level(sources: DataFrame, budget: float, cap: float) -> float:
         level = found
 
 
-def _cut(queue: DataFrame, budget: float) -> tuple[float, int] | None:
-    """Finish time and tie of the last queued row that fits the budget; None if all of them do.
+def _narrowed(queue: DataFrame, by: Column, rows: int, left: float) -> tuple[DataFrame, int, float]:
+    """The part of the queue, by one key, in which its running size passes `left`; its rows, and what is left for it.
 
-    queue: finish, tie, size. Each round splits the range that holds the cut into buckets, until its rows are few.
+    Each round splits the range that holds the place into buckets, until its rows are few or share one value.
     """
-    rows, total, low, high = queue.agg(F.count("*"), F.sum("size"), F.min("finish"), F.max("finish")).first()
-    if not rows or total <= budget:
-        return None
-    left = budget
+    low, high = queue.agg(F.min(by), F.max(by)).first()
     while rows > BUCKET_ROWS and high > low:
         n = min(100_000, max(64, rows // BUCKET_ROWS * 4))
         step = (high - low) / n
-        slot = F.least(F.lit(n - 1), F.floor((F.col("finish") - low) / step)).cast("long")
-        inside = queue.filter(F.col("finish").between(low, high))
-        counts = inside.groupBy(slot.alias("slot")).agg(
-            F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("finish").alias("low"), F.max("finish").alias("high")
-        )
-        running = F.sum("size").over(Window.orderBy("slot"))
-        found = counts.withColumn("upto", running).filter(F.col("upto") > left).orderBy("slot").first()
-        left -= found["upto"] - found["size"]
-        if found["rows"] == rows and (found["low"], found["high"]) == (low, high):
+        if not step:
             break
+        slot = F.least(F.lit(n - 1), F.floor((by - low) / step)).cast("long")
+        inside = queue.filter(by.between(low, high))
+        counts = inside.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min(by).alias("low"), F.max(by).alias("high"))
+        found = counts.withColumn("upto", F.sum("size").over(Window.orderBy("slot"))).filter(F.col("upto") > left).orderBy("slot").first()
+        left -= found["upto"] - found["size"]
         rows, low, high = found["rows"], found["low"], found["high"]
-    tail = queue.filter(F.col("finish").between(low, high)).withColumn("upto", F.sum("size").over(Window.orderBy("finish", "tie")))
-    last = tail.filter(F.col("upto") <= left).orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first()
-    return (last[0], last[1]) if last else (math.nextafter(low, -math.inf), 0)
+    return queue.filter(by.between(low, high)), rows, left
+
+
+def _cut(queue: DataFrame, budget: float) -> tuple[float, int] | None:
+    """Finish time and tie of the last queued row that fits the budget; None if all of them do.
+
+    queue: finish, tie, size. Rows of one finish time are told apart by their ties, which are hashes.
+    """
+    rows, total = queue.agg(F.count("*"), F.sum("size")).first()
+    if not rows or total <= budget:
+        return None
+    tail, rows, left = _narrowed(queue, F.col("finish"), rows, budget)
+    if rows > BUCKET_ROWS:
+        tail, rows, left = _narrowed(tail, F.col("tie").cast("double"), rows, left)
+    placed = tail.withColumn("upto", F.sum("size").over(Window.orderBy("finish", "tie")))
+    last = placed.filter(F.col("upto") <= left).orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first()
+    if last:
+        return last[0], last[1]
+    first = tail.orderBy("finish", "tie").select("finish", "tie").first()  # the row before it is the last that fits
+    return (first[0], first[1] - 1) if first[1] > -(2**63) else (math.nextafter(first[0], -math.inf), 2**63 - 1)
 
 
 @dataclass(frozen=True)

@@ -65,6 +65,19 @@ def test_the_cut_is_exact(spark, monkeypatch):
     assert M._cut(df, 1e9) is None
 
 
+def test_equal_finish_times_are_cut_by_their_ties(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    df = spark.range(3000).selectExpr("2.5D AS finish", "xxhash64(id) AS tie", "1 + id % 5 AS size")
+    rows = sorted((r.tie, r["size"]) for r in df.collect())
+    for budget in (0.0, 10.0, 4321.0):
+        at, tie = M._cut(df, budget)
+        upto, want = 0, []
+        for t, s in rows:
+            upto += s
+            want += [t] * (upto <= budget)
+        assert [t for t, _ in rows if 2.5 < at or (at == 2.5 and t <= tie)] == want
+
+
 def test_empty_and_wordless_tables(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     queue = M.fair_queue(df)
