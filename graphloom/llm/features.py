@@ -40,7 +40,7 @@ def text_profile(text: str | None, bits: int) -> dict[int, float]:
     out: dict[int, float] = {}
     shapes: Counter[str] = Counter()
     for w, n in counts.items():
-        shapes[_RUN.sub(r"\1", w.translate(_SHAPES))[:8]] += n
+        shapes[_RUN.sub(r"\1", w.translate(_SHAPES))] += n
     values = {w: 1 + np.log(n) for w, n in counts.items()}
     length = float(np.sqrt(sum(v * v for v in values.values()))) or 1.0
     for w, v in values.items():

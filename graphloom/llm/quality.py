@@ -42,6 +42,18 @@ class Model:
         return sigmoid(sum(get(k, 0.0) * v for k, v in text_profile(text, BITS).items()) - self.thresholds)
 
 
+def slopes(sums: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the summed log-likelihood of the grades, by each row's sum and by each threshold."""
+    one = np.arange(len(grades))
+    tail = np.hstack([np.ones((len(grades), 1)), sigmoid(sums[:, None] - cuts), np.zeros((len(grades), 1))])
+    low, high = tail[one, grades], tail[one, grades + 1]
+    chance = np.maximum(low - high, 1e-9)
+    by_cut = np.zeros(len(cuts) + 2)
+    np.add.at(by_cut, grades, -low * (1 - low) / chance)
+    np.add.at(by_cut, grades + 1, high * (1 - high) / chance)
+    return 1 - low - high, by_cut[1:-1]
+
+
 def train(rows: Rows, grades: np.ndarray, n_grades: int, rate: float = 0.1, steps: int = 300, shrink: float = 1e-4) -> Model:
     """Maximum likelihood with a ridge; thresholds are the first plus sums of exponentials, so they stay ordered."""
     if not len(grades):
@@ -51,20 +63,12 @@ def train(rows: Rows, grades: np.ndarray, n_grades: int, rate: float = 0.1, step
     start = -np.log(share / (1 - share))
     raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     weights, of_weights, of_raw = np.zeros(len(names)), Adam(len(names), rate), Adam(len(raw), rate / 2)
-    one = np.arange(rows.n)
     for _ in range(steps):
-        cuts = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        tail = sigmoid(rows.times(weights)[:, None] - cuts)
-        tail = np.hstack([np.ones((rows.n, 1)), tail, np.zeros((rows.n, 1))])
-        low, high = tail[one, grades], tail[one, grades + 1]
-        chance = np.maximum(low - high, 1e-9)
-        weights -= of_weights.step(-rows.gather(1 - low - high, len(names)) / rows.n + shrink * weights)
-        by_cut = np.zeros(n_grades + 1)
-        np.add.at(by_cut, grades, low * (1 - low) / chance)
-        np.add.at(by_cut, grades + 1, -high * (1 - high) / chance)
-        slope = np.cumsum(by_cut[1:n_grades][::-1])[::-1] / rows.n
-        slope[1:] *= np.exp(raw[1:])
-        raw -= of_raw.step(slope)
+        by_row, by_cut = slopes(rows.times(weights), np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])), grades)
+        weights -= of_weights.step(-rows.gather(by_row, len(names)) / rows.n + shrink * weights)
+        by_raw = -np.cumsum(by_cut[::-1])[::-1] / rows.n
+        by_raw[1:] *= np.exp(raw[1:])
+        raw -= of_raw.step(by_raw)
     return Model(dict(zip(names.tolist(), weights.tolist(), strict=True)), np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])))
 
 
@@ -73,7 +77,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [text_profile(t, BITS) for t in batch["text"].to_pylist()]
         columns = [np.fromiter(f, "<i4", len(f)).tobytes() for f in found]
         values = [np.fromiter(f.values(), "<f4", len(f)).tobytes() for f in found]
-        yield pa.RecordBatch.from_arrays([batch["grade"], pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["grade", "columns", "values"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "grade", "columns", "values"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, max_rated: int = 6000, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -82,9 +86,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, max_ra
     rated = rated.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = materialize(rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rated), "rated")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # at most max_rated ids are broadcast; of rows that share an id, the smallest text is taken
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    table = sample.select("grade", "text").mapInArrow(_features, "grade int, columns binary, values binary").toArrow()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most max_rated ids
+    found = sample.mapInArrow(_features, f"doc_id {dict(sample.dtypes)['doc_id']}, grade int, columns binary, values binary")
+    # of rows that share an id, one text counts: that with the smallest features
+    table = found.groupBy("doc_id", "grade").agg(F.min(F.struct("columns", "values")).alias("f")).select("grade", "f.columns", "f.values").toArrow()
     return train(Rows.of_bytes(table["columns"], table["values"]), table["grade"].to_numpy().astype(np.int64), n_grades)
 
 

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier on the presence of hashed words is trained from confirmed toxic texts and from unlabelled texts. The
-risk of calling a text clean is estimated on the unlabelled texts, less the share of it that the class prior gives to
+risk of calling a clean text toxic is estimated on the unlabelled texts, less the share of it that the class prior gives to
 toxic ones; when that difference falls below zero, which only overfitting brings about, the step climbs back. The
 logistic loss makes the score a probability.
 
@@ -47,6 +47,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def slopes(z: np.ndarray, marked: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Slope for each row's sum z of the step to take, and the risk of calling clean texts toxic, as estimated.
+
+    The whole risk is that of calling confirmed texts clean, times the prior, and the risk of calling clean texts toxic:
+    the unlabelled texts' share of it less the prior times the confirmed ones'. While the latter is below zero, the step
+    climbs it alone.
+    """
+    p, n = int(marked.sum()), len(marked)
+    chance, clean_loss = sigmoid(z), np.logaddexp(0, z)
+    clean_risk = float(clean_loss[~marked].mean() - prior * clean_loss[marked].mean())
+    slope = np.empty(n)
+    slope[marked], slope[~marked] = -prior * chance[marked] / p, chance[~marked] / (n - p)
+    if clean_risk < 0:
+        slope = -slope
+    else:
+        slope[marked] += prior * (chance[marked] - 1) / p
+    return slope, clean_risk
+
+
 def train(rows: Rows, marked: np.ndarray, prior: float, rate: float = 0.1, steps: int = 400, shrink: float = 1e-4) -> Model:
     """Minimise the non-negative risk over rows of distinct feature numbers; marked: which rows are confirmed toxic."""
     p = int(marked.sum())
@@ -56,15 +75,7 @@ def train(rows: Rows, marked: np.ndarray, prior: float, rate: float = 0.1, steps
     weights, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     of_weights, of_bias = Adam(len(names), rate), Adam(1, rate)
     for _ in range(steps):
-        z = rows.times(weights) + bias
-        chance, clean_loss = sigmoid(z), np.logaddexp(0, z)
-        clean_risk = clean_loss[~marked].mean() - prior * clean_loss[marked].mean()
-        slope = np.empty(rows.n)
-        slope[marked], slope[~marked] = -prior * chance[marked] / p, chance[~marked] / (rows.n - p)
-        if clean_risk < 0:
-            slope = -slope
-        else:
-            slope[marked] += prior * (chance[marked] - 1) / p
+        slope, _ = slopes(rows.times(weights) + bias, marked, prior)
         weights -= of_weights.step(rows.gather(slope, len(names)) + shrink * weights)
         bias -= float(of_bias.step(np.array([slope.sum()]))[0])
     # the unlabelled texts are toxic as often as the prior says
@@ -78,7 +89,7 @@ def train(rows: Rows, marked: np.ndarray, prior: float, rate: float = 0.1, steps
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.array(distinct_words(t, BITS), "<i4").tobytes() for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["marked"], pa.array(found, pa.binary())], names=["marked", "features"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["marked"], pa.array(found, pa.binary())], names=["doc_id", "marked", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, seed: int = 0, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -95,9 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     others = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     # at most max_positive + max_unlabelled ids
     chosen = materialize(positive.withColumn("marked", F.lit(True)).unionByName(others.withColumn("marked", F.lit(False))), "sample")
-    # of rows that share an id, the smallest text is taken
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "marked").agg(F.min("text").alias("text"))
-    table = sample.select("marked", "text").mapInArrow(_features, "marked boolean, features binary").toArrow()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "marked", "text")
+    found = sample.mapInArrow(_features, f"doc_id {dict(sample.dtypes)['doc_id']}, marked boolean, features binary")
+    # of rows that share an id, one text counts: that with the smallest features
+    table = found.groupBy("doc_id", "marked").agg(F.min("features").alias("features")).select("marked", "features").toArrow()
     return train(Rows.of_bytes(table["features"]), table["marked"].to_numpy().astype(bool), prior)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -59,11 +60,44 @@ def test_no_labels_and_empty_tables(tables):
     assert Q.select(docs, model).count() == docs.count() and Q.rate(docs.limit(0), model).count() == 0
 
 
-def test_the_risk_stays_non_negative():
+def brute_risks(z, marked, prior):
+    """Confirmed and clean risk by plain loops."""
+    clean = [math.log(1 + math.exp(x)) for x in z]
+    toxic = [math.log(1 + math.exp(-x)) for x in z]
+    p, u = [i for i in range(len(z)) if marked[i]], [i for i in range(len(z)) if not marked[i]]
+    return prior * sum(toxic[i] for i in p) / len(p), sum(clean[i] for i in u) / len(u) - prior * sum(clean[i] for i in p) / len(p)
+
+
+def test_the_risk_estimate_and_its_slopes_as_brute_force():
     rng = np.random.default_rng(0)
-    rows = Rows.of([np.unique(rng.integers(0, 30, 6)) for _ in range(80)])
-    model = T.train(rows, np.arange(80) < 40, 0.3)
-    assert np.isfinite(model.bias) and all(np.isfinite(list(model.weights.values())))
+    marked = np.arange(12) < 5
+    for shift, sign in ((0.0, 1), (8.0, -1)):  # with the confirmed far up and the rest far down, the estimate is negative
+        z = rng.normal(size=12) + np.where(marked, shift, -shift)
+        slope, clean = T.slopes(z, marked, 0.4)
+        toxic_risk, clean_risk = brute_risks(z, marked, 0.4)
+        assert clean == pytest.approx(clean_risk) and (clean_risk < 0) == (sign < 0)
+        for i in range(12):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            a, b = brute_risks(up, marked, 0.4), brute_risks(down, marked, 0.4)
+            want = (sum(a) - sum(b)) / 2e-5 if sign > 0 else -(a[1] - b[1]) / 2e-5
+            assert slope[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_the_risk_stays_near_zero_or_above():
+    """Without the correction the estimate falls far below zero on texts whose words tell all of them apart."""
+    rows = Rows.of([np.array([i // 15, 100 + i // 15]) for i in range(90)])
+    marked = np.arange(90) < 45
+    model = T.train(rows, marked, 0.3, shrink=0.0)
+    z = np.array([model.bias + sum(model.weights.get(k, 0.0) for k in (i // 15, 100 + i // 15)) for i in range(90)])
+    assert model.weights and np.isfinite(z).all()
+    assert brute_risks(z, marked, 0.3)[1] > -0.5  # the uncorrected risk goes below minus one here
+    plain = np.zeros(2)
+    for _ in range(400):  # the same fit without the correction, in the two sums that all rows have
+        chance = 1 / (1 + np.exp(-plain))
+        plain -= 0.1 * np.array([-0.3, chance[1]])
+    assert brute_risks(np.where(marked, plain[0], plain[1]), marked, 0.3)[1] < -1
 
 
 def test_quality_on_the_held_out_fold(tables):
@@ -78,6 +112,39 @@ def test_quality_on_the_held_out_fold(tables):
     assert kept == {i for i, r in got.items() if r.tails[0] >= 0.5}
 
 
+def test_slopes_of_the_likelihood_as_brute_force():
+    rng = np.random.default_rng(2)
+    sums, cuts, grades = rng.normal(size=20), np.array([-0.7, 0.4, 1.5]), rng.integers(0, 4, 20)
+
+    def likelihood(sums, cuts):
+        out = 0.0
+        for x, g in zip(sums, grades, strict=True):
+            tail = [1.0, *(1 / (1 + math.exp(c - x)) for c in cuts), 0.0]
+            out += math.log(tail[g] - tail[g + 1])
+        return out
+
+    by_row, by_cut = Q.slopes(sums, cuts, grades)
+    for values, got, of in ((sums, by_row, lambda v: likelihood(v, cuts)), (cuts, by_cut, lambda v: likelihood(sums, v))):
+        for i in range(len(values)):
+            up, down = values.copy(), values.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert got[i] == pytest.approx((of(up) - of(down)) / 2e-5, abs=1e-6)
+
+
+def test_scores_as_brute_force(tables):
+    """Every score is the sum of a text's weights, word by word, and very long texts are scored whole."""
+    docs, labels, _ = tables
+    model = T.fit(docs, labels)
+    text = "plain " * 300_000 + "villain"
+    want = 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(k, 0.0) for k in set(distinct_words("plain villain", T.BITS))))))
+    assert model.score(text) == pytest.approx(want) and model.score(text) > model.score("plain")
+    rated = Q.fit(docs, labels, Q.grade_of_labels(), 3)
+    profile = text_profile(text, Q.BITS)
+    z = sum(rated.weights.get(k, 0.0) * v for k, v in profile.items())
+    assert rated.tails(text).tolist() == pytest.approx([1 / (1 + math.exp(c - z)) for c in rated.thresholds])
+
+
 def test_gradients_follow_the_likelihood():
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
