@@ -10,7 +10,7 @@ from graphloom.functions import text as T
 from graphloom.operators import callgraph as G
 from graphloom.operators import centrality, complexity, filters, hybrid, metrics, ranking, vectors
 from graphloom.operators.components import connected_components
-from graphloom.plans import features, insights  # noqa: F401 - their queries are registered on import
+from graphloom.plans import features, insights, profile  # noqa: F401 - the queries of the first two are registered on import
 from graphloom.plans.registry import oracle_sql, queries, query  # noqa: F401 - the driver contract reads them here
 from graphloom.session import read_table
 
@@ -100,12 +100,19 @@ def g4_most_reaching(spark, d):
     return n.orderBy(F.desc("n_reachable"), "id").limit(10)
 
 
-@query()
+_FAR = "r1 AS MATERIALIZED (SELECT src, dst, 1 AS depth FROM edges)" + "".join(
+    f""", f{k} AS MATERIALIZED (SELECT DISTINCT a.src, e.dst, {k} AS depth FROM {"r1" if k == 2 else f"f{k - 1}"} a JOIN edges e ON e.src = a.dst ANTI JOIN r{k - 1} r ON r.src = a.src AND r.dst = e.dst),
+r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION ALL SELECT * FROM f{k})"""
+    for k in range(2, 21)
+)
+
+
+@query(f"WITH {_FAR} SELECT src, dst, CAST(depth AS INT) AS depth FROM r20")
 def g3_closure_whole(spark, d):
     return G.closure(_edges(spark, d))
 
 
-@query()
+@query(f"WITH {_FAR} SELECT src AS id, count(*) AS n_reachable FROM r20 WHERE src <> dst GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def g4_most_reaching_whole(spark, d):
     n = G.closure(_edges(spark, d)).filter("src != dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_reachable"))
     return n.orderBy(F.desc("n_reachable"), "id").limit(10)
@@ -257,13 +264,8 @@ def g29_call_graph_around(spark, d):
 # --- joins
 
 
-@query("""SELECT DISTINCT id, neighbour FROM (SELECT src AS id, dst AS neighbour FROM edges WHERE src <= 20 UNION ALL SELECT dst, src FROM edges WHERE dst <= 20)""")
-def j7_neighbours(spark, d):
-    return G.neighbours(_edges(spark, d), A.functions(spark, d).filter("id <= 20"))
-
-
 @query("SELECT src AS id, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges")
-def j7_neighbours_whole(spark, d):
+def j7_neighbours(spark, d):
     return G.neighbours(_edges(spark, d), A.functions(spark, d))
 
 
@@ -300,19 +302,19 @@ def j15_similar_pairs(spark, d):
     return vectors.similar_pairs(read_table(spark, d, "embeddings"), 0.45).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH o AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.h IS NULL OR n.h IS NULL OR o.h <> n.h""", tables=False)
+@query("""WITH o AS (SELECT doc_id AS path, md5(text) AS h FROM documents), n AS (SELECT doc_id * 2 AS path, md5(text) AS h FROM documents)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.h <> n.h""", tables=False)
 def j18_changes(spark, d):
-    t = read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
-    old = t.filter("path % 3 != 0").select("path", F.md5(F.col("text").cast("binary")).alias("hash"))
-    new = t.filter("path % 7 != 0").select("path", F.md5(F.when(F.col("path") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary")).alias("hash"))
-    return hybrid.changes(old, new)
+    # the new version has every text under twice its id
+    t = read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("hash"))
+    return hybrid.changes(t, t.withColumn("path", F.col("path") * 2))
 
 
-@query("""WITH o AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, 'new' AS lang FROM documents WHERE doc_id % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)""", tables=False)
+@query("""WITH n AS (SELECT doc_id * 2 AS doc_id, lang || '-new' AS lang FROM documents) SELECT * FROM n UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)""", tables=False)
 def s13_upsert(spark, d):
+    # the new version has every row under twice its id
     t = read_table(spark, d, "documents").select("doc_id", "lang")
-    return hybrid.upsert(t.filter("doc_id % 2 = 0"), t.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+    return hybrid.upsert(t, t.select((F.col("doc_id") * 2).alias("doc_id"), F.concat("lang", F.lit("-new")).alias("lang")), ["doc_id"])
 
 
 # --- searches by attribute
@@ -444,7 +446,14 @@ def r2_pagerank(spark, d):
     return ranking.pagerank(A.functions(spark, d), _edges(spark, d), rounds=_ROUNDS).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+_CONVERGED = """cnt AS (SELECT count(*)::DOUBLE AS n FROM functions), outs AS (SELECT src, count(*)::DOUBLE AS o FROM edges GROUP BY src),
+pr(i, id, r, moved) AS (SELECT 0, id, 1 / n, 1e9::DOUBLE FROM functions, cnt UNION ALL SELECT * FROM (SELECT i, id, r, sum(abs(r - was)) OVER () FROM (
+  SELECT p.i + 1 AS i, p.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (SELECT coalesce(sum(q.r), 0) FROM pr q WHERE q.id NOT IN (SELECT src FROM outs)) / n + 0.85::DOUBLE * coalesce(g.got, 0) AS r, p.r AS was FROM pr p CROSS JOIN cnt
+  LEFT JOIN (SELECT e.dst, sum(q.r / outs.o) AS got FROM pr q JOIN edges e ON e.src = q.id JOIN outs ON outs.src = q.id GROUP BY e.dst) g ON g.dst = p.id WHERE p.moved >= 1e-6 * n) s) x),
+ranked AS (SELECT id, r FROM pr WHERE i = (SELECT max(i) FROM pr))"""
+
+
+@query(f"WITH {_CONVERGED} SELECT id, round(r, 9) AS rank FROM ranked")
 def r2_pagerank_converged(spark, d):
     return ranking.pagerank(A.functions(spark, d), _edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
@@ -465,12 +474,18 @@ def r8_importance_summary(spark, d):
     return ranking.summary(ranking.traditional(A.functions(spark, d), _edges(spark, d)))
 
 
-@query()
+_BY_RANK = """byrank AS (SELECT f.id, f.complexity_score AS cs, round(r * CASE WHEN complexity_score > 0 THEN 1 + log10(complexity_score + 1) * 0.3::DOUBLE ELSE 1 END * 1000, 2) AS p FROM functions f JOIN ranked USING (id))"""
+_HYBRID = """parts AS (SELECT id, trad.score AS t, p, round(CASE WHEN cs > 0 THEN 1 + log10(cs + 1) * 0.3::DOUBLE ELSE 1 END, 2) AS factor, max(trad.score) OVER () AS bt, max(p) OVER () AS bp FROM trad JOIN byrank USING (id)),
+mixed AS (SELECT id, round(0.4::DOUBLE * (p / bp * 100) + 0.4::DOUBLE * (t / bt * 100) + 10.0::DOUBLE * (factor - 1), 2) AS score FROM parts)"""
+
+
+@query(f"WITH {_TRAD}, {_CONVERGED}, {_BY_RANK}, {_HYBRID} SELECT id, score, {_LEVEL} AS importance_level FROM mixed")
 def r3_hybrid_importance(spark, d):
     return ranking.hybrid(A.functions(spark, d), _edges(spark, d))
 
 
-@query()
+@query(f"""WITH {_TRAD}, {_CONVERGED}, {_BY_RANK}, a AS (SELECT id, score FROM trad ORDER BY score DESC, id LIMIT 20), b AS (SELECT id, p FROM byrank ORDER BY p DESC, id LIMIT 20)
+SELECT count(*) AS n_common, CASE WHEN count(*) > 1 THEN round(corr(score, p), 3) END AS correlation FROM a JOIN b USING (id)""")
 def r7_compare_scores(spark, d):
     f, e = A.functions(spark, d), _edges(spark, d)
     return ranking.compare(ranking.traditional(f, e), ranking.pagerank_importance(f, e))
@@ -503,17 +518,36 @@ def r11_percentile_rank(spark, d):
     return complexity.percentile_rank(complexity.scored(A.functions(spark, d)))
 
 
-@query()
+@query(f"""WITH {_FAR}, g AS (SELECT dst AS id, count(*) AS k, sum(depth) AS total FROM r20 WHERE src <> dst GROUP BY dst)
+SELECT f.id, coalesce(round(k / total * k / (SELECT count(*) - 1 FROM functions), 6), 0.0) AS closeness FROM functions f LEFT JOIN g ON g.id = f.id""")
 def r13_closeness(spark, d):
     return centrality.closeness(A.functions(spark, d).select("id"), _edges(spark, d))
 
 
-@query()
+@query("""WITH ev(i, id, v, moved) AS (SELECT 0, id, 1.0::DOUBLE, 1e9::DOUBLE FROM functions UNION ALL SELECT * FROM (SELECT i, id, v, sum(abs(v - was)) OVER () FROM (
+  SELECT i, id, raw / sqrt(sum(raw * raw) OVER ()) AS v, was FROM (SELECT p.i + 1 AS i, p.id, p.v + coalesce(g.got, 0) AS raw, p.v AS was FROM ev p
+  LEFT JOIN (SELECT e.dst, sum(q.v) AS got FROM ev q JOIN edges e ON e.src = q.id GROUP BY e.dst) g ON g.dst = p.id WHERE p.moved >= 1e-6 * (SELECT count(*) FROM functions) AND p.i < 1000) s) u) x)
+SELECT id, round(v, 6) AS centrality FROM ev WHERE i = (SELECT max(i) FROM ev)""")
 def r13_eigenvector(spark, d):
     return centrality.eigenvector(A.functions(spark, d).select("id"), _edges(spark, d), 1000)
 
 
-@query()
+_LEVELS = 60  # more than the longest shortest path of the tables
+
+
+def _betweenness() -> str:
+    parts = ["l0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS paths FROM functions), k0 AS MATERIALIZED (SELECT s, v FROM l0)"]
+    for k in range(1, _LEVELS + 1):
+        parts.append(f"l{k} AS MATERIALIZED (SELECT a.s, e.dst AS v, sum(a.paths) AS paths FROM l{k - 1} a JOIN edges e ON e.src = a.v ANTI JOIN k{k - 1} r ON r.s = a.s AND r.v = e.dst GROUP BY a.s, e.dst)")
+        parts.append(f"k{k} AS MATERIALIZED (SELECT * FROM k{k - 1} UNION ALL SELECT s, v FROM l{k})")
+    parts.append(f"h{_LEVELS} AS MATERIALIZED (SELECT s, v, paths, 0.0::DOUBLE AS share FROM l{_LEVELS})")
+    for k in reversed(range(_LEVELS)):
+        parts.append(f"h{k} AS MATERIALIZED (SELECT l.s, l.v, l.paths, l.paths * coalesce(sum((1 + h.share) / h.paths), 0) AS share FROM l{k} l LEFT JOIN edges e ON e.src = l.v LEFT JOIN h{k + 1} h ON h.s = l.s AND h.v = e.dst GROUP BY l.s, l.v, l.paths)")
+    every = " UNION ALL ".join(f"SELECT v, share FROM h{k} WHERE s <> v" for k in range(1, _LEVELS + 1))
+    return f"WITH {', '.join(parts)} SELECT f.id, round(coalesce(sum(share), 0), 6) AS betweenness FROM functions f LEFT JOIN ({every}) t ON t.v = f.id GROUP BY f.id"
+
+
+@query(_betweenness())
 def r13_betweenness(spark, d):
     return centrality.betweenness(A.functions(spark, d).select("id"), _edges(spark, d), max_depth=None)
 
@@ -523,17 +557,31 @@ def r14_degree_centrality(spark, d):
     return G.degrees(A.functions(spark, d), _edges(spark, d)).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")).orderBy(F.desc("degree"), "id").limit(20)
 
 
-@query()
+_BOTH = "both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(f"""WITH {_BOTH}, lp(i, id, c, moved) AS (SELECT 0, id, id, 1::BIGINT FROM functions UNION ALL SELECT i, id, c, moved FROM (SELECT p.i + 1 AS i, p.id, v.c, count(*) FILTER (WHERE v.c <> p.c) OVER () AS moved FROM lp p JOIN (
+  SELECT id, min(struct_pack(n := -n, c := c)).c AS c FROM (SELECT id, c, count(*) AS n FROM (SELECT b.dst AS id, q.c FROM lp q JOIN both_ways b ON b.src = q.id UNION ALL SELECT id, c FROM lp) GROUP BY id, c) GROUP BY id) v ON v.id = p.id
+  WHERE p.moved > 0 AND p.i < 100) s) SELECT id, c AS community FROM lp WHERE i = (SELECT max(i) FROM lp)""")
 def r15_label_propagation(spark, d):
     return centrality.label_propagation(A.functions(spark, d).select("id"), _edges(spark, d), 100)
 
 
-@query()
+@query(f"""WITH {_BOTH}, tw AS (SELECT count(*)::DOUBLE AS m FROM both_ways), deg AS MATERIALIZED (SELECT f.id, count(b.src) AS k FROM functions f LEFT JOIN both_ways b ON b.src = f.id GROUP BY f.id),
+lv(i, id, c, moved) AS (SELECT 0, id, id, 1::BIGINT FROM functions UNION ALL SELECT i, id, c, moved FROM (SELECT p.i + 1 AS i, p.id, coalesce(x.next, p.c) AS c, count(x.next) OVER () AS moved FROM lv p LEFT JOIN (
+  SELECT id, min(struct_pack(g := -gain, c := c)).c AS next FROM (SELECT o.*, coalesce(max(CASE WHEN c = was THEN w - (total - k) * k / m END) OVER (PARTITION BY id), 0.0) AS stay FROM (
+    SELECT l.id, l.c, l.w, t.total, d.k, own.c AS was, m, l.w - t.total * d.k / m AS gain FROM (SELECT b.src AS id, q.c, count(*) AS w FROM both_ways b JOIN lv q ON q.id = b.dst GROUP BY b.src, q.c) l
+    JOIN (SELECT q.c, sum(d2.k) AS total FROM lv q JOIN deg d2 ON d2.id = q.id GROUP BY q.c) t ON t.c = l.c JOIN deg d ON d.id = l.id JOIN lv own ON own.id = l.id CROSS JOIN tw) o) o2
+  WHERE c < was AND gain > stay + 1e-12 GROUP BY id) x ON x.id = p.id WHERE p.moved > 0 AND p.i < 100) s) SELECT id, c AS community FROM lv WHERE i = (SELECT max(i) FROM lv)""")
 def r15_louvain_level(spark, d):
     return centrality.louvain_level(A.functions(spark, d).select("id"), _edges(spark, d), 100)
 
 
-@query()
+@query("""WITH ctx AS (SELECT f.id, CAST(f.id AS VARCHAR) AS name, f.cyclomatic_complexity::DOUBLE AS cc, coalesce((SELECT list(DISTINCT g.name) FROM edges e JOIN functions g ON g.id = e.dst WHERE e.src = f.id), []) AS callees,
+coalesce((SELECT list(DISTINCT g.name) FROM edges e JOIN functions g ON g.id = e.src WHERE e.dst = f.id), []) AS callers FROM functions f WHERE f.id BETWEEN 1 AND 12), n AS (SELECT unnest(['1', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', 'unknown']) AS name)
+SELECT x.name AS a, y.name AS b, CASE WHEN x.name = y.name THEN 1.0::DOUBLE ELSE coalesce(round((CASE WHEN len(list_distinct(p.callees || q.callees)) = 0 THEN 0 ELSE len(list_intersect(p.callees, q.callees)) / len(list_distinct(p.callees || q.callees)) END
++ CASE WHEN len(list_distinct(p.callers || q.callers)) = 0 THEN 0 ELSE len(list_intersect(p.callers, q.callers)) / len(list_distinct(p.callers || q.callers)) END + 1 - abs(p.cc - q.cc) / greatest(p.cc, q.cc, 1)) / 3, 6), 0.0) END AS similarity
+FROM n x CROSS JOIN n y LEFT JOIN ctx p ON p.name = x.name LEFT JOIN ctx q ON q.name = y.name""")
 def r16_structural_similarity(spark, d):
     c = G.function_context(A.functions(spark, d), _edges(spark, d)).join(A.functions(spark, d).select("id", F.col("cyclomatic_complexity").cast("double").alias("complexity")), "id")
     c = c.withColumn("name", F.col("id").cast("string"))
@@ -567,7 +615,12 @@ def v12_recommendations(spark, d):
     return vectors.top_k(e, vectors.vector_of(e, 0), 5, threshold=0.3, exclude=0).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("""WITH p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45),
+st(i, id, s, open) AS (SELECT 0, id, 0, 1::BIGINT FROM (SELECT a AS id FROM p UNION SELECT b FROM p) UNION ALL SELECT i, id, s, open FROM (SELECT i, id, s, count(*) FILTER (WHERE s = 0) OVER () AS open FROM (
+  SELECT t.i + 1 AS i, t.id, CASE WHEN t.s <> 0 THEN t.s WHEN t.i % 2 = 0 AND w.b IS NULL THEN 1 WHEN t.i % 2 = 1 AND l.b IS NOT NULL THEN 2 ELSE 0 END AS s FROM st t
+  LEFT JOIN (SELECT DISTINCT p.b FROM p JOIN st x ON x.id = p.a AND x.s = 0) w ON w.b = t.id LEFT JOIN (SELECT DISTINCT p.b FROM p JOIN st x ON x.id = p.a AND x.s = 1) l ON l.b = t.id WHERE t.open > 0) u) z)
+SELECT p.a AS leader, p.b AS member, round(score, 6) AS score FROM p JOIN st ON st.id = p.a AND st.s = 1 AND st.i = (SELECT max(i) FROM st)""", tables=False)
 def v14_leader_groups(spark, d):
     return vectors.leader_groups(vectors.similar_pairs(read_table(spark, d, "embeddings"), 0.45)).withColumn("score", F.round("score", 6))
 
@@ -612,6 +665,17 @@ def st2_sessions(spark, d):
 # --- several operators in one
 
 
+@query(f"""WITH {_REACH}, {_CONVERGED}, {_BOTH}, lp(i, id, c, moved) AS (SELECT 0, id, id, 1::BIGINT FROM functions UNION ALL SELECT i, id, c, moved FROM (SELECT p.i + 1 AS i, p.id, v.c, count(*) FILTER (WHERE v.c <> p.c) OVER () AS moved FROM lp p JOIN (
+  SELECT id, min(struct_pack(n := -n, c := c)).c AS c FROM (SELECT id, c, count(*) AS n FROM (SELECT b.dst AS id, q.c FROM lp q JOIN both_ways b ON b.src = q.id UNION ALL SELECT id, c FROM lp) GROUP BY id, c) GROUP BY id) v ON v.id = p.id
+  WHERE p.moved > 0 AND p.i < 100) s), labels AS (SELECT id, c FROM lp WHERE i = (SELECT max(i) FROM lp)), chosen AS (SELECT id, name FROM functions ORDER BY id LIMIT 1),
+best AS (SELECT id, row_number() OVER (ORDER BY r DESC, id) AS rank FROM ranked)
+SELECT x.id, x.name, coalesce((SELECT CAST(rank AS INT) FROM best WHERE best.id = x.id AND rank <= 100), 0) AS rank, (SELECT count(*) FROM functions) AS n_functions, l.c AS community, (SELECT count(*) FROM labels k WHERE k.c = l.c) AS community_size,
+(SELECT count(*) FROM reach WHERE src = x.id AND dst <> x.id) AS n_dependencies, (SELECT count(*) FROM reach WHERE src = x.id AND dst <> x.id AND depth = 1) AS n_direct FROM chosen x JOIN labels l ON l.id = x.id""")
+def r23_importance_profile(spark, d):
+    f = A.functions(spark, d)
+    return profile.importance_profile(f, _edges(spark, d), f.orderBy("id").first()["name"]).fillna(0, ["rank"])  # 0: not among the best
+
+
 @query()
 def v10_hybrid_search(spark, d):
     from graphloom.functions.embed import embed, embedder

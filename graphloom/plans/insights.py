@@ -90,12 +90,6 @@ def r12_skipped(spark, d):
     return complexity.skipped(A.functions(spark, d))
 
 
-@query()
-def r23_importance_profile(spark, d):
-    f = A.functions(spark, d)
-    return profile.importance_profile(f, _edges(spark, d), f.orderBy("id").first()["name"])
-
-
 @query("""WITH one AS (SELECT name FROM functions ORDER BY id LIMIT 1), chosen AS (SELECT f.id, f.name, f.complexity_score FROM functions f JOIN one ON one.name = f.name),
 o AS (SELECT s.id, array_to_string(list_sort(list(DISTINCT f.name)), ',') AS callees, count(DISTINCT f.name) AS n FROM chosen s JOIN edges e ON e.src = s.id JOIN functions f ON f.id = e.dst GROUP BY s.id),
 i AS (SELECT s.id, array_to_string(list_sort(list(DISTINCT f.name)), ',') AS callers, count(DISTINCT f.name) AS n FROM chosen s JOIN edges e ON e.dst = s.id JOIN functions f ON f.id = e.src GROUP BY s.id)

@@ -21,7 +21,7 @@ def query(sql: str | None = None, *, tables: bool = True) -> Callable[[Query], Q
         if sql:
             body = sql.strip()
             head = f"WITH RECURSIVE {A.SQL}" if tables else ""
-            _SQL[f.__name__] = f"{head}, {body[5:]}" if tables and body.upper().startswith("WITH ") else f"{head} {body}"
+            _SQL[f.__name__] = f"{head}, {body[5:]}" if tables and body.upper().startswith("WITH ") else f"{head} {body}" if tables else body.replace("WITH ", "WITH RECURSIVE ", 1) if body.startswith("WITH ") else body
         return f
 
     return register

@@ -84,4 +84,4 @@ def test_betweenness_in_blocks(spark, nodes):
 
 def test_neighbours_of_every_function(spark, nodes):
     want = {x for s, t in EDGES for x in ((s, t), (t, s))}
-    assert sorted((r.id, r.neighbour) for r in run(spark, "j7_neighbours_whole")) == sorted(want)
+    assert sorted((r.id, r.neighbour) for r in run(spark, "j7_neighbours")) == sorted(want)
