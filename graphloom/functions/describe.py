@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,10 +28,12 @@ def split_docstring(text: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: F.struct(*[acc[k].alias(k) for k in ("description", "args", "returns")]))
 
 
-def describe(functions: DataFrame, client: Callable[[list[str]], list[str]] | None = None, batch: int = 50) -> DataFrame:
+def describe(functions: DataFrame, client: Callable[[list[str]], list[str]] | None = None, batch: int = 50, attempts: int = 1, wait: float = 1.0) -> DataFrame:
     """seq, docstring (as a struct), has_error: from the functions' own docstrings, or from a client's answers to their code.
 
-    client: takes the code of up to `batch` functions and returns a text for each; a call that fails marks its batch.
+    client: takes the code of up to `batch` functions and returns a text for each, or one text with `---` between them. A
+    call that fails, or answers for another number of functions, is made again after wait * 1.5 ** try seconds, at most
+    180; after the last attempt its batch is marked.
     """
     if client is None:
         return functions.select("seq", split_docstring(F.col("docstring")).alias("docstring"), F.lit(False).alias("has_error"))
@@ -39,10 +42,17 @@ def describe(functions: DataFrame, client: Callable[[list[str]], list[str]] | No
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                try:
-                    texts, error = client(part["code"].tolist()), False
-                except Exception:  # noqa: BLE001 - whatever the client raises, the rows say so
-                    texts, error = [None] * len(part), True
+                for attempt in range(attempts):
+                    try:
+                        told = client(part["code"].tolist())
+                        texts, error = [x.strip() for x in told.split("---")] if isinstance(told, str) else list(told), False
+                        if len(texts) != len(part):
+                            raise ValueError(f"{len(texts)} answers for {len(part)} functions")
+                        break
+                    except Exception:  # noqa: BLE001 - whatever the client raises, the rows say so
+                        texts, error = [None] * len(part), True
+                        if attempt < attempts - 1:
+                            time.sleep(min(180.0, wait * 1.5**attempt))
                 yield pd.DataFrame({"seq": part["seq"], "text": texts, "has_error": error})
 
     kind = dict(functions.dtypes)["seq"]

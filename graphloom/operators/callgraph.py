@@ -118,8 +118,45 @@ def simple_cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
     return closed.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"), F.size("nodes").alias("length"))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """id, neighbour: nodes joined to a seed by an edge of either direction."""
+def shortest_chains(edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """src, dst, depth, nodes: for each pair within max_depth calls one shortest path, the first in the order of its nodes.
+
+    Each level keeps one path of a pair before the next, so rows are pairs, not paths.
+    """
+    e = edges.filter("src != dst").select("src", "dst").distinct()
+    step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    level = known = materialize(e.select("src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("nodes")), "chains")
+    for depth in range(2, max_depth + 1):
+        longer = level.join(step, "dst").filter("src != next").select("src", F.col("next").alias("dst"), F.concat("nodes", F.array("next")).alias("nodes"))
+        best = longer.groupBy("src", "dst").agg(F.min("nodes").alias("nodes")).join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        level = materialize(best.select("src", "dst", F.lit(depth).alias("depth"), "nodes"), "chains")
+        known = known.unionByName(level)
+    return known
+
+
+def graph_around(edges: DataFrame, sources: DataFrame, max_depth: int = 3, direction: str = "out", distinct_edges: bool = True) -> DataFrame:
+    """src, dst of the edges on trails of up to max_depth edges that leave the sources (out), reach them (in), or both."""
+    steps = F.explode(F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst"))))
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = None
+    for way, rows in (("out", edges), ("in", turned)):
+        if direction in (way, "both"):
+            part = paths(rows, max_depth, sources).select(steps.alias("e")).select("e.*")
+            part = part if way == "out" else part.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            found = part if found is None else found.unionByName(part)
+    return found.distinct() if distinct_edges else found
+
+
+def external_calls(functions: DataFrame, calls: DataFrame, by: str = "file_path") -> DataFrame:
+    """group, names, n: the names that a group's functions call and no function has. calls: id, callee (a name)."""
+    known = functions.select(F.col("name").alias("callee")).distinct()
+    outside = calls.join(known, "callee", "left_anti").join(functions.select("id", F.col(by).alias("group")), "id")
+    return outside.select("group", "callee").distinct().groupBy("group").agg(F.array_sort(F.collect_list("callee")).alias("names"), F.count("*").alias("n"))
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """id, neighbour: nodes joined to a seed by an edge of either direction; types: of edges that have a column `type`."""
+    edges = edges.filter(F.col("type").isin(types)) if types else edges
     s = seeds.select("id")
     out = edges.join(s, F.col("src") == F.col("id")).select("id", F.col("dst").alias("neighbour"))
     into = edges.join(s, F.col("dst") == F.col("id")).select("id", F.col("src").alias("neighbour"))

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_total
 
-def merge(left: DataFrame, right: DataFrame, keys: list[str], weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
-    """keys, left_score, right_score, combined_score, rnk: a full outer join of (keys, score); a missing score is 0."""
+
+def merge(left: DataFrame, right: DataFrame, keys: list[str], weights: tuple[float, float] = (0.7, 0.3), limit: int | None = None) -> DataFrame:
+    """keys, left_score, right_score, combined_score, rnk: a full outer join of (keys, score); a missing score is 0.
+
+    limit: only so many of the best. Without one all are ranked, range by range.
+    """
     a = left.select(*keys, F.col("score").alias("left_score"))
     b = right.select(*keys, F.col("score").alias("right_score"))
     both = a.join(b, keys, "full_outer").fillna(0.0, ["left_score", "right_score"])
     both = both.withColumn("combined_score", F.round(weights[0] * F.col("left_score") + weights[1] * F.col("right_score"), 6))
-    return both.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("combined_score"), *keys)).cast("int"))
+    order = [F.desc("combined_score"), *map(F.col, keys)]
+    if limit is None:
+        return running_total(both, order, F.lit(1), "rnk").withColumn("rnk", F.col("rnk").cast("int"))
+    return both.orderBy(*order).limit(limit).withColumn("rnk", F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
 def jaccard(a, b):
@@ -37,6 +45,15 @@ def structural_similarity(context: DataFrame, names: list[str]) -> DataFrame:
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(F.round(score, 6), F.lit(0.0))).alias("similarity"))
 
 
+def callee_similarity(context: DataFrame, names: list[str]) -> DataFrame:
+    """a, b, similarity for every two of a short list of names: the shared part of their callees, 1 for a name itself."""
+    spark = context.sparkSession
+    asked = spark.createDataFrame([(x, y) for x in names for y in names], "a string, b string")
+    rows = context.filter(F.col("name").isin(names))
+    joined = asked.join(rows.select(F.col("name").alias("a"), F.col("callees").alias("x")), "a", "left").join(rows.select(F.col("name").alias("b"), F.col("callees").alias("y")), "b", "left")
+    return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(F.round(jaccard(F.col("x"), F.col("y")), 6), F.lit(0.0))).alias("similarity"))
+
+
 def changes(old: DataFrame, new: DataFrame, key: str = "path", mark: str = "hash") -> DataFrame:
     """key, change: added, changed or deleted between two tables of marks."""
     o, n = old.select(key, F.col(mark).alias("was")), new.select(key, F.col(mark).alias("now"))

@@ -28,11 +28,14 @@ def overall_metrics(functions: DataFrame) -> DataFrame:
     )
 
 
-def class_stats(functions: DataFrame) -> DataFrame:
-    """Per class: n_methods, n_public, n_private (all that are not public), n_magic; names starting with _ aren't public."""
+def class_stats(functions: DataFrame, code: str | None = None) -> DataFrame:
+    """Per class: n_methods, n_public, n_private (all that are not public), n_magic; names starting with _ aren't public.
+
+    code: a column of source texts; then is_abstract, whether any of a class has `abstract` in it.
+    """
     named = functions.filter("parent_class is not null").groupBy("parent_class")
     public = ~F.col("name").startswith("_")
-    return named.agg(F.count("*").alias("n_methods"), F.count_if(public).alias("n_public"), F.count_if(~public).alias("n_private"), F.count_if(F.col("name").startswith("__")).alias("n_magic"))
+    return named.agg(F.count("*").alias("n_methods"), F.count_if(public).alias("n_public"), F.count_if(~public).alias("n_private"), F.count_if(F.col("name").startswith("__")).alias("n_magic"), *([F.coalesce(F.bool_or(F.contains(code, F.lit("abstract"))), F.lit(False)).alias("is_abstract")] if code else []))
 
 
 def dependency_complexity(functions: DataFrame, edges: DataFrame) -> DataFrame:

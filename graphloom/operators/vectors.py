@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +64,14 @@ def similar_to(vectors: DataFrame, vec_id: int, k: int = 10, threshold: float =
     return top_k(others, [0.0] if row is None else list(row["embedding"]), k, threshold=threshold)
 
 
+def similarity_matrix(vectors: DataFrame, ids: list[int]) -> DataFrame:
+    """a, b, score: the cosine of every two of a short list of vectors, themselves included."""
+    some = vectors.filter(F.col("vec_id").isin(ids)).select("vec_id", doubles(F.col("embedding")).alias("v"))
+    one, two = some.select(F.col("vec_id").alias("a"), F.col("v").alias("x")), some.select(F.col("vec_id").alias("b"), F.col("v").alias("y"))
+    pairs = vectors.sparkSession.createDataFrame([(i, j) for i in ids for j in ids], "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("score"))
+
+
 def hashed_search(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 8, width: float = 2.0, seed: int = 42) -> DataFrame:
     """vec_id, score of the k best inner products among the vectors that share a random projection's bucket with the query."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -75,9 +85,12 @@ def hashed_search(vectors: DataFrame, query: list[float], k: int = 10, tables: i
     return near.select("vec_id", dot(F.col("v"), literal(query)).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, cells: int = 16, seed: int = 42) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, cells: int | None = None, seed: int = 42) -> DataFrame:
     """a, b (a < b), score of every two vectors of a cosine of at least the threshold.
 
+    cells: about the square root of the number of vectors unless given, at most 1,024, so that a cell grows slower than
+    the table; a low threshold still compares most cells, for most pairs are then in reach.
+
     Exact, without comparing all: unit vectors are dealt to `cells` of k-means centres; two vectors at an angle t can
     only be in cells of which one vector's angle to the other's centre exceeds that to its own by at most t. So each
     vector is stored in its own cell, and probes every cell whose centre is that near.
@@ -85,6 +98,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, cells: int = 16, seed: i
     rows = vectors.select("vec_id", doubles(F.col("embedding")).alias("v")).filter("vec_id is not null and v is not null")
     size = F.sqrt(dot(F.col("v"), F.col("v")))
     rows = rows.withColumn("v", F.when(size > 0, F.transform("v", lambda x: x / size))).filter("v is not null")
+    cells = cells or min(1024, max(16, math.isqrt(vectors.count())))
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(cells).collect()
     if not sample:
         return rows.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("score"))

@@ -10,7 +10,7 @@ from graphloom.functions import text as T
 from graphloom.operators import callgraph as G
 from graphloom.operators import centrality, complexity, filters, hybrid, metrics, ranking, vectors
 from graphloom.operators.components import connected_components
-from graphloom.plans import features, insights, profile  # noqa: F401 - the queries of the first two are registered on import
+from graphloom.plans import features, insights, profile, surface  # noqa: F401 - queries are registered on import
 from graphloom.plans.registry import oracle_sql, queries, query  # noqa: F401 - the driver contract reads them here
 from graphloom.session import read_table
 
@@ -163,9 +163,9 @@ def g10_file_descriptions(spark, d):
     return docs.select("doc_id", "source").join(labels, "doc_id", "left").groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("n_functions"), F.count("quality").alias("n_described"))
 
 
-@query("""SELECT parent_class, count(*) AS n_methods, count(*) FILTER (WHERE NOT starts_with(name, '_')) AS n_public, count(*) FILTER (WHERE starts_with(name, '_')) AS n_private, count(*) FILTER (WHERE starts_with(name, '__')) AS n_magic FROM functions GROUP BY 1""")
+@query("""SELECT parent_class, count(*) AS n_methods, count(*) FILTER (WHERE NOT starts_with(name, '_')) AS n_public, count(*) FILTER (WHERE starts_with(name, '_')) AS n_private, count(*) FILTER (WHERE starts_with(name, '__')) AS n_magic, coalesce(bool_or(contains(name, 'abstract')), false) AS is_abstract FROM functions GROUP BY 1""")
 def g11_class_stats(spark, d):
-    return metrics.class_stats(A.functions(spark, d))
+    return metrics.class_stats(A.functions(spark, d), "name")
 
 
 @query("""SELECT e.src AS id, count(*) AS n, count(*) FILTER (WHERE f.cyclomatic_complexity > 0) AS n_with_complexity, round(avg(f.cyclomatic_complexity), 6) AS avg_cc, max(f.cyclomatic_complexity) AS max_cc, min(f.cyclomatic_complexity) AS min_cc,
@@ -256,9 +256,7 @@ def g28_largest_files(spark, d):
 UNION ALL SELECT c.src, c.dst FROM edges a JOIN edges b ON a.dst = b.src AND NOT (a.src = b.src AND a.dst = b.dst) JOIN edges c ON b.dst = c.src WHERE a.src = 1)""")
 def g29_call_graph_around(spark, d):
     e = _edges(spark, d)
-    trails = G.paths(e, 3, spark.createDataFrame([(1,)], "id long"))
-    steps = F.explode(F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst"))))
-    return trails.select(steps.alias("e")).select("e.*").distinct()
+    return G.graph_around(e, spark.createDataFrame([(1,)], "id long"), 3)
 
 
 # --- joins
@@ -293,7 +291,7 @@ def j13_hybrid_merge(spark, d):
     e = read_table(spark, d, "embeddings")
     a = vectors.top_k(e, vectors.vector_of(e, 0), 20)
     b = e.select("vec_id", (F.col("label").cast("double") / 10).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
-    return hybrid.merge(a, b, ["vec_id"]).withColumn("left_score", F.round("left_score", 6))
+    return hybrid.merge(a, b, ["vec_id"], limit=40).withColumn("left_score", F.round("left_score", 6))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id

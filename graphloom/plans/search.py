@@ -100,7 +100,7 @@ class Searcher:
         if request.kind != "semantic" or not semantic:
             score = T.keyword_score(request.query, F.lit(""), F.col("filepath"), F.col("content"), F.lit(""))
             parts.append(rows.select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(2 * request.top_k))
-        best = merge(parts[0], parts[1], ["id"]).select("id", F.col("combined_score").alias("score")) if len(parts) == 2 else parts[0]
+        best = merge(parts[0], parts[1], ["id"], limit=request.top_k).select("id", F.col("combined_score").alias("score")) if len(parts) == 2 else parts[0]
         best = best.orderBy(F.desc("score"), "id").limit(request.top_k)
         out = best.join(self.table, "id")
         if request.kind == "ai" and self.rerank is not None:
@@ -110,6 +110,18 @@ class Searcher:
             out = metadata(out, request.top_k, ["rnk"], "post", **request.filters)
         return out.select("id", "score", "rnk", "filepath", "language", T.highlights(F.col("content"), request.query).alias("highlights"))
 
+    @staticmethod
+    def suggest(part: str, names: DataFrame, docs: DataFrame, history: DataFrame, limit: int = 10) -> DataFrame:
+        """text: names, docstring words longer than the part, and past queries that hold it, shortest first.
+
+        names: name; docs: docstring; history: query. Words lose the marks .,!?;: at their ends.
+        """
+        low = F.lit(part.lower())
+        words = docs.select(F.explode(F.split(F.coalesce("docstring", F.lit("")), r"\s+")).alias("text")).select(F.regexp_replace("text", "^[.,!?;:]+|[.,!?;:]+$", "").alias("text"))
+        words = words.filter(F.length("text") > len(part))
+        every = names.select(F.col("name").alias("text")).unionByName(words).unionByName(history.select(F.col("query").alias("text")))
+        return every.filter(F.contains(F.lower("text"), low)).distinct().orderBy(F.length("text"), "text").limit(limit)
+
     def suggestions(self, part: str, limit: int = 10) -> DataFrame:
         """Paths and words of the contents that hold a text, shortest first."""
         low = F.lit(part.lower())

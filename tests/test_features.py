@@ -218,3 +218,46 @@ def test_fetching_tries_again(tmp_path):
     assert waits == [1, 1, 1, 2] and seen[-1] == ["checkout"]
     with pytest.raises(RuntimeError):
         repositories.fetch("https://host.example/a/two.git", str(tmp_path), rounds=1, run=lambda *a: (_ for _ in ()).throw(OSError()), wait=waits.append)
+
+
+def test_remaining_lists(spark):
+    from graphloom.functions.describe import describe
+    from graphloom.functions.embed import embed, embedder
+    from graphloom.operators import callgraph, centrality, metrics, ranking
+    from graphloom.plans.search import Searcher
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 1)], "src long, dst long")
+    chains = {(r.src, r.dst): r.nodes for r in callgraph.shortest_chains(edges, 3).collect()}
+    assert chains[1, 3] == [1, 2, 3] and chains[2, 4] == [2, 3, 1, 4] and (1, 1) not in chains
+    one = spark.createDataFrame([(4,)], "id long")
+    around = {way: {(r.src, r.dst) for r in callgraph.graph_around(edges, one, 1, way).collect()} for way in ("out", "in", "both")}
+    assert around == {"out": {(4, 3)}, "in": {(1, 4)}, "both": {(4, 3), (1, 4)}}
+    f = spark.createDataFrame([(1, "f", "a"), (2, "g", "a")], "id long, name string, file_path string")
+    calls = spark.createDataFrame([(1, "print"), (2, "print"), (1, "g"), (2, "open")], "id long, callee string")
+    assert [(r.group, r.names, r.n) for r in callgraph.external_calls(f, calls).collect()] == [("a", ["open", "print"], 2)]
+    typed = edges.withColumn("type", F.when(F.col("src") == 1, "CALLS").otherwise("USES"))
+    assert callgraph.neighbours(typed, spark.createDataFrame([(1,)], "id long"), ["USES"]).count() == 1
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4)], "id long, community long")
+    assert [(r.community, r.n) for r in centrality.communities(labels).orderBy("rnk").collect()] == [(4, 3), (1, 2)]
+    stats = metrics.class_stats(spark.createDataFrame([("K", "f", "abstract x"), ("K", "__g", None), ("L", "_h", None)], "parent_class string, name string, code string"), "code")
+    assert {(r.parent_class, r.n_private, r.n_magic, r.is_abstract) for r in stats.collect()} == {("K", 1, 1, True), ("L", 1, 0, False)}
+    heavy = edges.withColumn("w", F.when(F.col("dst") == 2, 3.0).otherwise(1.0))
+    ranks = {r.id: r["rank"] for r in ranking.pagerank(spark.range(1, 5), heavy, weight="w").collect()}
+    assert ranks[2] > 2 * ranks[4] and sum(ranks.values()) == pytest.approx(1)
+    texts = spark.createDataFrame([(1, "read file read"), (2, "write file")], "id long, content string")
+    model = embedder(50, vocabulary=True).fit(texts)
+    assert all(sum(x * x for x in r.embedding) in (0.0, pytest.approx(1)) for r in embed(model, texts).collect())
+    tries = spark.createDataFrame([("s1", "code"), ("s2", "code")], "seq string, code string").coalesce(1)
+    seen = []
+
+    def client(codes):
+        seen.append(len(codes))
+        if len(seen) < 3:
+            raise OSError
+        return "One.---Two."
+
+    told = describe(tries, client, attempts=4, wait=0.0).collect()
+    assert [r.docstring.description for r in told] == ["One.", "Two."] and not any(r.has_error for r in told)
+    assert all(r.has_error for r in describe(tries, lambda codes: ["one"], attempts=2, wait=0.0).collect())
+    found = Searcher.suggest("re", spark.createDataFrame([("read",)], "name string"), spark.createDataFrame([("More. re, (reader)!",)], "docstring string"), spark.createDataFrame([("where",)], "query string"))
+    assert [r.text for r in found.collect()] == ["More", "read", "where", "(reader)"]
