@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _HOMES: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "graphloom", **conf: str) -> SparkSession:
@@ -55,10 +56,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing.
+
+    The shuffle files of the write go with it, so that a job of many steps holds those of one step at a time.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
