@@ -32,34 +32,19 @@ from graphloom.functions.arrays import let
 from graphloom.session import materialize
 
 from .ranks import numbered
-from .text import whole
+from .text import single_spaced, spaced_words, whole
 
 #: Words that the longer of two lines has at least for the unit to be a word.
 MIN_WORDS = 8
-#: Spaces other than the common one that a line may have.
-_SPACES = ("\t", "\x0b", "\x0c", "\r")
 
 
 def _split(text: Column) -> Column:
     return F.split(whole(text), "\n")
 
 
-def _single_spaced(low: Column) -> Column:
-    """One space for each run of spaces in a line; most have only single ones."""
-    odd = F.contains(low, F.lit("  "))
-    for space in _SPACES:
-        odd = odd | F.contains(low, F.lit(space))
-    return F.when(odd, F.regexp_replace(low, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(low)
-
-
 def normal(line: Column) -> Column:
     """A line in lower case, with one space between words."""
-    return F.trim(_single_spaced(F.lower(line)))
-
-
-def _count(line: Column) -> Column:
-    """Words of a line with one space between them."""
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.trim(single_spaced(F.lower(line)))
 
 
 def halves(line: Column, n: Column) -> Column:
@@ -80,7 +65,7 @@ def halves(line: Column, n: Column) -> Column:
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, content, place, h1, h2 (hashes of the line), keys: a row for each line that has a word."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("content"), F.posexplode(_split(F.lower(F.col(text)))).alias("place", "line"))
-    rows = rows.select("doc_id", "content", "place", F.trim(_single_spaced(F.col("line"))).alias("line")).filter("line != ''").withColumn("n", _count(F.col("line")))
+    rows = rows.select("doc_id", "content", "place", F.trim(single_spaced(F.col("line"))).alias("line")).filter("line != ''").withColumn("n", spaced_words(F.col("line")))
     return rows.select("doc_id", "content", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), halves(F.col("line"), F.col("n")).alias("keys"))
 
 
@@ -113,7 +98,7 @@ def _texts(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
 
 def units(lines: DataFrame) -> DataFrame:
     """rank, kind (0 for words, 1 for characters), n, units (strings); a line of MIN_WORDS - 1 words has a row of each."""
-    n = _count(F.col("line"))
+    n = spaced_words(F.col("line"))
     words = F.struct(F.lit(0).alias("kind"), F.split("line", " ").alias("units"))
     letters = F.struct(F.lit(1).alias("kind"), F.split("line", "").alias("units"))
     both = F.when(n >= MIN_WORDS, F.array(words)).when(n == MIN_WORDS - 1, F.array(words, letters)).otherwise(F.array(letters))

@@ -5,8 +5,8 @@ host's limit are removed, and a document of whose words too few are left is reje
 host count as one document, so that copying alone doesn't make a line boilerplate.
 
 All counts cover all documents. The counts are summed on (host, line, document) first, so a line that is on every page
-of a host is dealt out over all tasks, and only its partial counts meet. Texts are never shuffled: lines travel as a
-hash of 16 bytes.
+of a host is dealt out over all tasks, and only its partial counts meet; when frequent lines are looked up, each is dealt
+out over `SALTS` parts. Texts are never shuffled: lines travel as a hash of 16 bytes, and are made once.
 
 Edge cases: a null text is empty, and has no words, so it fails the base rules; a null host is a host of its own;
 repeated rows get equal results, one for each; an empty table gives an empty result. Only the three named columns are
@@ -18,9 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import GAP, SPACE, ascii_lower, whole, words_of
+from graphloom.session import materialize
+
+from .text import GAP, SPACE, ascii_lower, single_spaced, spaced_words, whole, words_of
 
 WINDOW = 8
+#: Parts that the places of one line are dealt out over.
+SALTS = 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -65,16 +69,27 @@ def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host
 def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """doc_id, host, content, place, line and line2 (hashes of the normalised line), words, for each line with a word."""
     body = whole(F.col(text))
-    clean = F.trim(F.regexp_replace(ascii_lower(F.col("line")), GAP, " "))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(body).alias("content"), F.posexplode(F.split(body, "\n")).alias("place", "line"))
-    d = d.withColumn("line", clean).filter("line != ''")
-    words = 1 + F.length("line") - F.length(F.translate("line", " ", ""))
-    return d.select("doc_id", "host", "content", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("line2"), words.cast("long").alias("words"))
+    clean = F.trim(single_spaced(F.col("line")))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(body).alias("content"), F.posexplode(F.split(ascii_lower(body), "\n")).alias("place", "line"))
+    d = d.withColumn("line", clean).filter("line != ''").withColumn("words", spaced_words(F.col("line")).cast("long"))
+    return d.select("doc_id", "host", "content", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("line2"), "words")
+
+
+def _hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The lines that are frequent; those of one line are dealt out by place and document."""
+    salt = F.pmod(F.xxhash64("content", "place"), F.lit(SALTS))
+    parts = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), F.col("line2").alias("f_line2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("f_salt"))
+    same = F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")) & (F.col("line2") == F.col("f_line2")) & (salt == F.col("f_salt"))
+    return lines.join(parts, same, "left_semi")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.01, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """host, line, line2 of the lines in more than max(min_docs, share of the host's) distinct documents of a host."""
-    lines = _lines(docs, doc_id, text, host).select("host", "line", "line2", "content")
+    return _frequent(_lines(docs, doc_id, text, host), docs, min_docs, share, text, host)
+
+
+def _frequent(lines: DataFrame, docs: DataFrame, min_docs: int, share: float, text: str, host: str) -> DataFrame:
+    lines = lines.select("host", "line", "line2", "content")
     counts = lines.distinct().groupBy("host", "line", "line2").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     hosts = docs.select(F.col(host).alias("host"), F.xxhash64(whole(F.col(text))).alias("content")).distinct()
     limits = hosts.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("docs"))
@@ -96,10 +111,8 @@ def line_frequency_rules(
     A document is depleted if less than keep_share of its words are left once frequent lines are gone.
     """
     names = {"doc_id": doc_id, "text": text, "host": host}
-    frequent = frequent_lines(docs, min_docs, share, **names)
-    frequent = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), F.col("line2").alias("f_line2"))
-    lines = _lines(docs, **names)
-    hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")) & (F.col("line2") == F.col("f_line2")), "left_semi")
+    lines = materialize(_lines(docs, **names), "lines")
+    hit = _hits(lines, _frequent(lines, docs, min_docs, share, text, host))
     # repeated rows have the same lines, which count once
     removed = hit.select("doc_id", "host", "content", "place", "words").distinct().groupBy("doc_id", "host", "content").agg(F.sum("words").alias("hit_words"))
     removed = removed.select(F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("content").alias("r_content"), "hit_words")
@@ -112,8 +125,7 @@ def line_frequency_rules(
 def strip_frequent_lines(docs: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents without the host's frequent lines; their other columns stay as they are."""
     names = {"doc_id": doc_id, "text": text, "host": host}
-    frequent = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), F.col("line2").alias("f_line2"))
-    hit = _lines(docs, **names).join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")) & (F.col("line2") == F.col("f_line2")), "left_semi")
+    hit = _hits(_lines(docs, **names), frequent)
     gone = hit.groupBy("doc_id", "host", "content").agg(F.collect_set("place").alias("places"))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(whole(F.col(text))).alias("content")).alias("d")
     gone = gone.alias("g")

@@ -30,4 +30,18 @@ def word_count(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    plain = F.octet_length(text) == F.length(text)  # ASCII alone, which Spark lowers faster
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def single_spaced(line: Column) -> Column:
+    """One space for each run of spaces in a line; most lines have only single ones."""
+    odd = F.contains(line, F.lit("  "))
+    for space in ("\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, F.regexp_replace(line, GAP, " ")).otherwise(line)
+
+
+def spaced_words(line: Column) -> Column:
+    """Words of a line that is not empty and has one space between words."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1

@@ -144,3 +144,13 @@ def test_line_frequency_as_brute_force(spark):
     stripped = L.strip_frequent_lines(df, frequent)
     assert stripped.count() == len(rows) and stripped.filter(F.lower("text").contains("all rights reserved by us")).count() == 0
     assert L.line_frequency_rules(df.limit(0)).count() == 0
+
+
+def test_frequency_of_very_long_texts_and_one_common_line(spark):
+    rng = random.Random(9)
+    long = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(4000))
+    rows = [(0, long, "h"), *((i, f"one line that every page of the host has\nword{i} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(30)), "h") for i in range(1, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = {r.doc_id: r for r in L.line_frequency_rules(df, 20, 0.01, 0.3).collect()}
+    assert (got[0].n_words, got[0].removed_words, got[0].kept) == (200_000, 0, True)
+    assert all((got[i].removed_words, got[i].kept) == (9, True) for i in range(1, 200))
