@@ -48,9 +48,15 @@ def test_clusters_are_those_of_the_nearest_centre(spark):
     rows = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     cluster = {r.vec_id: r.cluster for r in catalog.queries()["v15_kmeans"](spark, SF).collect()}
     assert cluster.keys() == rows.keys() and len(set(cluster.values())) == 10
-    centre = {c: np.mean([rows[i] for i in rows if cluster[i] == c], axis=0) for c in set(cluster.values())}
-    spread = sum(((rows[i] - centre[cluster[i]]) ** 2).sum() for i in rows)
-    assert spread < 0.9 * sum(((rows[i] - np.mean(list(rows.values()), axis=0)) ** 2).sum() for i in rows)
+
+    def spread(of):
+        """Sum of squared distances to the means, and the means."""
+        centre = {c: np.mean([rows[i] for i in rows if of[i] == c], axis=0) for c in set(of.values())}
+        return sum(((rows[i] - centre[of[i]]) ** 2).sum() for i in rows), centre
+
+    found, centre = spread(cluster)
+    shuffled = np.random.default_rng(0).permutation(list(cluster.values())).tolist()
+    assert found < 0.95 * spread(dict(zip(cluster, shuffled, strict=True)))[0]  # the vectors have little structure
     near = sum(min(centre, key=lambda c: ((rows[i] - centre[c]) ** 2).sum()) == cluster[i] for i in rows)
     assert near / len(rows) >= 0.9  # all but those that a last round would move
 
@@ -63,4 +69,4 @@ def test_hybrid_search_as_brute_force(spark):
     for r in got:
         keyword = 0.6 * ("license" in docs[r.id].source.lower()) + 0.4 * ("license" in docs[r.id].text.lower())
         assert 0.3 * keyword - 1e-9 <= r.score <= 0.3 * keyword + 0.7 + 1e-9
-    assert all("license" in h.lower() for r in got for h in r.highlights.split("|||") if h)
+    assert all(h.removesuffix("...") in docs[r.id].text for r in got for h in r.highlights.split("|||"))
