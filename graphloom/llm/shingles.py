@@ -1,9 +1,14 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, verified by the exact Jaccard similarity of word shingles, and an exact way for the rest.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, and links are closed
 to classes. A shingle is the 64-bit hash of its words; A-Z count as a-z.
 
-Which texts can have a partner at all is told by MinHash: `BANDS` keys for each text, each of `ROWS` minima. Two texts
+Every text with a word has the fingerprint of its set, and fingerprints within `NEAR_BITS` bits are found as op6 finds
+its own: by the generalised pigeonhole principle with thresholds by dynamic programming. The texts that a path of such
+fingerprints joins are a group, and all pairs of a group are verified on their whole sets.
+
+A pair at 0.8 may be further apart than any radius that can be probed, so pairs of different groups have a way of their
+own. Which texts can have a partner at all is told by MinHash: `BANDS` keys for each text, each of `ROWS` minima. Two texts
 of similarity s share no key with chance (1 - s ** ROWS) ** BANDS, which is 5e-8 at 0.8 and less above. Among those that
 share a key with another, candidates come from prefixes, without loss: shingles are put in the order of how many of these
 texts have them, the rarest first. Sets of n shingles at 0.8 or more share one of the first n - ceil(4n/5) + 1 of the
@@ -16,8 +21,8 @@ linked if those texts are within the bound, or one's with the other's present te
 longer resembles the whole. A former text counts for an id that names one document and one former text.
 
 Texts of equal sets are one node from the start. In each posting of a shingle all nodes are first compared with one of
-them. What is then left in postings of more than one class is put together in clusters, and each cluster is counted out at
-once: a task holds the sets of at most two blocks of it, counts what every two share by a matrix product, and passes
+them, but for those of its group. What is then left in postings of more than one class is put together in clusters. Each
+group and each cluster is counted out at once: a task holds the sets of at most two blocks of it, counts what every two share by a matrix product, and passes
 on one link for each node at most. So every candidate is verified or already of one class, a large group of copies costs
 a comparison for each of them, and pairs are never rows.
 
@@ -39,12 +44,16 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import connected_components
 from graphloom.session import discard, materialize
 
+from .simhash import majority, only, plan_probes, posting_links
+
 SHINGLE = 5
+#: Bits in which the fingerprints of two texts differ at most that are found by probing.
+NEAR_BITS = 6
 BANDS, ROWS = 32, 4
 #: Shingles that a batch of sets, and a bucket of keys, holds about.
 BATCH, BUCKET = 1 << 20, 1 << 22
-#: Sets that a block of a cluster holds about.
-BLOCK = 1024
+#: Sets, and shingles, that a block of a cluster holds about.
+BLOCK, BLOCK_KEYS = 1024, 1 << 20
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
 _SHIFTS = np.random.default_rng(43).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 
@@ -76,14 +85,16 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for x in batch["text"]:
             found = shingle_set(x.as_py() or b"")
+            prints.append(majority(found))
             nodes.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes()))
             sizes.append(len(found))
             keys.append(band_keys(found))
-        columns = [batch["doc_id"], batch["content"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "node", "n", "keys"])
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        columns = [batch["doc_id"], batch["content"], signed(nodes), pa.array(sizes, pa.int64()), signed(prints), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "node", "n", "fingerprint", "keys"])
 
 
 def shingle_keys(text: bytes) -> np.ndarray:
@@ -192,8 +203,8 @@ def _alike_enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _shared_counts(keys: list[np.ndarray], first: int, last: int) -> np.ndarray:
     """How many keys the sets from first to last share with each set."""
-    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    found, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    _, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
     several = counts > 1
     column = (np.cumsum(several) - 1)[place]
     held = several[place]
@@ -238,12 +249,29 @@ def _counted_out(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
+def fingerprint_groups(nodes: DataFrame, bound: int) -> DataFrame:
+    """node, cluster of nodes (node, fingerprint): one cluster for fingerprints that a path of links within the bound joins."""
+    distinct = materialize(nodes.select("fingerprint").distinct(), "fingerprints").select("fingerprint", F.col("fingerprint").alias("rep"))
+    read = []
+    links = materialize(posting_links(distinct, plan_probes(distinct, bound), bound, read=read), "fingerprint-links")
+    for done in read:
+        discard(done)
+    classes = connected_components(links).select(F.col("node").alias("fingerprint"), "component")
+    return nodes.join(classes, "fingerprint", "left").select("node", F.coalesce("component", "fingerprint").alias("cluster"))
+
+
 def _cluster_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     """src, dst: links between the nodes of postings (key, node), enough to join their classes."""
     least = left.groupBy("key").agg(F.min("node").alias("least"))
     clusters = connected_components(left.join(least, "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct())
-    clusters = materialize(clusters.select("node", F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return _links_within(materialize(clusters.select("node", F.col("component").alias("cluster")), "clusters"), sets)
+
+
+def _links_within(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst: links between the nodes of each cluster (node, cluster), enough to join their classes."""
+    held = clusters.join(sets.select("node", "n"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_KEYS)).cast("int")
+    sizes = held.groupBy("cluster").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = clusters.join(sizes, "cluster").withColumn("own", own).withColumn("other", other)
@@ -301,6 +329,13 @@ def _alike(a: str, b: str) -> F.Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of which not both are of one group."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("cluster").alias(f"{end}_group"))
+    both = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return both.filter("not (src_group <=> dst_group) or src_group is null").select("src", "dst")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links).select("node", "component"), "near-classes")
 
@@ -311,27 +346,34 @@ def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = N
     texts: doc_id, content, text; known: src, dst of nodes that are one; spent: a table that nothing needs after the texts.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first")
-    nodes = materialize(marks.groupBy("node").agg(first).select("node", "first.doc_id", "first.content"), "nodes")
+    nodes = marks.groupBy("node", "n", "fingerprint").agg(first).select("node", "n", "fingerprint", "first.doc_id", "first.content")
+    nodes = materialize(nodes, "nodes")
+    near = fingerprint_groups(nodes.filter("n > 0").select("node", "fingerprint"), NEAR_BITS)
     banded = marks.select("node", F.explode("keys").alias("band")).repartition("band")  # both sides below are dealt by it
     several = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("band")
     partnered = materialize(banded.join(several, "band", "left_semi").select("node").distinct(), "partnered")
     sets = _sets_of(nodes.join(partnered, "node"), texts)
     if spent is not None:
         discard(spent)
+    near = materialize(near.join(partnered, "node"), "fingerprint-groups")
+    near = near.join(near.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster"), "cluster")
+    groups = materialize(near.select("node", "cluster"), "groups")
+    found = materialize(_links_within(groups, sets), "group-links")
+    known = found if known is None else found.unionByName(known)
     posted = materialize(prefixes(sets), "postings")
     hubs = posted.groupBy("key").agg(F.min(F.when(F.col("short"), F.struct("node", "n"))).alias("hub"), F.count("*").alias("rows")).filter("rows > 1 and hub is not null")
     shared = posted.join(hubs, "key").select("key", "node", "n", "short", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = materialize(shared, "shared-postings")
     discard(posted)
     pairs = shared.filter((F.col("hub") != F.col("node")) & _alike("n", "hub_n")).select(F.col("hub").alias("src"), F.col("node").alias("dst"))
-    links = _verified(materialize(pairs.distinct(), "hub-pairs"), sets)
-    links = materialize(links if known is None else links.unionByName(known), "near-links")
+    links = _verified(materialize(_across(pairs.distinct(), groups), "hub-pairs"), sets)
+    links = materialize(links.unionByName(known), "near-links")
     named = shared.join(_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
     left = materialize(named.filter("node != hub").join(mixed, "key").select("key", "node"), "left-postings")
     rest = materialize(_cluster_links(left, sets), "left-links")
     classes = _components(links.unionByName(rest))
-    for done in (nodes, partnered, sets, shared, left):
+    for done in (nodes, partnered, groups, found, sets, shared, left):
         discard(done)
     return classes
 
@@ -348,10 +390,8 @@ def keep_one(docs: DataFrame, source: DataFrame | None = None, doc_id: str = "do
 
     source: the documents with their former texts, under the same column names.
     """
-    from .simhash import only
-
     texts = _rows(docs, doc_id, text)
-    schema = "doc_id long, content long, node long, n long, keys array<long>"
+    schema = "doc_id long, content long, node long, n long, fingerprint long, keys array<long>"
     marks = materialize(texts.mapInArrow(_marks, schema), "marks")
     former, known, changed = marks.limit(0), None, None
     if source is not None:

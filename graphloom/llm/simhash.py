@@ -37,6 +37,15 @@ ONE = np.uint64(1)
 # --- fingerprints
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none of no hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text's word shingles; A-Z count as a-z."""
     words = text.lower().split()  # on bytes, both know ASCII alone
@@ -50,11 +59,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), last, strict=True)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -224,12 +229,13 @@ def _verify(batches: Iterable[pa.RecordBatch], bound: int) -> Iterator[pa.Record
         yield links(held, np.array([len(held["key"])]))
 
 
-def posting_links(distinct: DataFrame, probes: list[tuple[int, int]], bound: int, most: int = 1024) -> DataFrame:
+def posting_links(distinct: DataFrame, probes: list[tuple[int, int]], bound: int, most: int = 1024, read: list[DataFrame] | None = None) -> DataFrame:
     """src, dst: links between the reps of fingerprints within the bound, enough to join each class.
 
     distinct: fingerprint, rep. most: fingerprints of a posting that are compared with each other; larger postings are
-    split by further bits.
+    split by further bits. read: gets the tables that the links are made of, to be discarded once they are written.
     """
+    read = [] if read is None else read
     paths = {p: mask for p, (mask, _) in enumerate(probes)}
     post = F.explode(
         F.array(*[F.struct(F.lit(p).cast("long").alias("path"), F.lit(_signed(f)).alias("flip")) for p, (mask, t) in enumerate(probes) for f in flips(mask, t)])
@@ -242,6 +248,7 @@ def posting_links(distinct: DataFrame, probes: list[tuple[int, int]], bound: int
     while True:
         counts = rows.groupBy("path", "key").agg(F.count("*").alias("n")).filter("n > 1")
         counts = materialize(counts, "posting-counts")
+        read += [rows, counts]
         few = rows.join(counts.filter(F.col("n") <= most).select("path", "key"), ["path", "key"], "left_semi")
         few = few.select("path", "key", "fingerprint", "rep", (F.col("flip") == 0).alias("own"))
         few = few.repartition("path", "key").sortWithinPartitions("path", "key")

@@ -26,7 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of texts that share 0.8 of their five-word shingles, that with the smallest id.
 
     Documents are alike by their present texts, or by those that the corpus has, of which line dedup may have left a
-    part. SimHash has no radius for this bound at a cost in proportion to the table; the README has the figures.
+    part. Candidates come from SimHash by the generalised pigeonhole principle, and those that are further apart than
+    its radius from an exact way for the rest; every link is verified on whole sets.
     """
     from .shingles import keep_one
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from graphloom.llm import shingles, stages
+from graphloom.llm import shingles, simhash, stages
 
 
 def brute_set(text):
@@ -89,3 +89,25 @@ def test_counts_of_shared_keys():
     want = [[len(np.intersect1d(a, b)) for b in keys] for a in keys[7:19]]
     got = shingles._shared_counts(keys, 7, 19)
     assert all(got[i, j] == want[i][j] for i in range(12) for j in range(41) if j != i + 7)
+
+
+def test_fingerprints_find_near_texts_by_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 400)] for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(10 + i, " ".join([*w[:-2], "y", "z"])) for i, w in enumerate(base)]
+    prefixes = shingles.prefixes
+    monkeypatch.setattr(shingles, "prefixes", lambda sets: prefixes(sets).limit(0))
+    assert kept(rows, spark) == brute_kept(rows) and len(brute_kept(rows)) == 6
+
+
+def test_groups_of_fingerprints_as_brute_force(spark):
+    prints = [simhash.majority(shingles.shingle_set(t.encode())) for t in varied(4)]
+    root = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 6 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    nodes = spark.createDataFrame(list(enumerate(np.array(prints, np.uint64).view(np.int64).tolist())), "node long, fingerprint long")
+    got = {r.node: r.cluster for r in shingles.fingerprint_groups(nodes, shingles.NEAR_BITS).collect()}
+    assert len(set(root)) < len(set(prints)) and len(got) == len(prints)
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in got for j in got)
