@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.session import discard, materialize
+from graphloom.session import discard, materialize, release
 
 from .simhash import majority, only, plan_probes, posting_links
 
@@ -256,6 +256,7 @@ def fingerprint_groups(nodes: DataFrame, bound: int) -> DataFrame:
     links = materialize(posting_links(distinct, plan_probes(distinct, bound), bound, read=read), "fingerprint-links")
     for done in read:
         discard(done)
+    release(nodes.sparkSession)
     classes = connected_components(links).select(F.col("node").alias("fingerprint"), "component")
     return nodes.join(classes, "fingerprint", "left").select("node", F.coalesce("component", "fingerprint").alias("cluster"))
 
@@ -264,6 +265,7 @@ def _cluster_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     """src, dst: links between the nodes of postings (key, node), enough to join their classes."""
     least = left.groupBy("key").agg(F.min("node").alias("least"))
     clusters = connected_components(left.join(least, "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct())
+    release(left.sparkSession)
     return _links_within(materialize(clusters.select("node", F.col("component").alias("cluster")), "clusters"), sets)
 
 
@@ -337,7 +339,9 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return materialize(connected_components(links).select("node", "component"), "near-classes")
+    classes = materialize(connected_components(links).select("node", "component"), "near-classes")
+    release(links.sparkSession)
+    return classes
 
 
 def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = None, spent: DataFrame | None = None) -> DataFrame:
@@ -352,6 +356,7 @@ def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = N
     banded = marks.select("node", F.explode("keys").alias("band")).repartition("band")  # both sides below are dealt by it
     several = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("band")
     partnered = materialize(banded.join(several, "band", "left_semi").select("node").distinct(), "partnered")
+    release(marks.sparkSession)
     sets = _sets_of(nodes.join(partnered, "node"), texts)
     if spent is not None:
         discard(spent)
@@ -360,11 +365,13 @@ def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = N
     groups = materialize(near.select("node", "cluster"), "groups")
     found = materialize(_links_within(groups, sets), "group-links")
     known = found if known is None else found.unionByName(known)
+    release(marks.sparkSession)
     posted = materialize(prefixes(sets), "postings")
     hubs = posted.groupBy("key").agg(F.min(F.when(F.col("short"), F.struct("node", "n"))).alias("hub"), F.count("*").alias("rows")).filter("rows > 1 and hub is not null")
     shared = posted.join(hubs, "key").select("key", "node", "n", "short", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = materialize(shared, "shared-postings")
     discard(posted)
+    release(marks.sparkSession)
     pairs = shared.filter((F.col("hub") != F.col("node")) & _alike("n", "hub_n")).select(F.col("hub").alias("src"), F.col("node").alias("dst"))
     links = _verified(materialize(_across(pairs.distinct(), groups), "hub-pairs"), sets)
     links = materialize(links.unionByName(known), "near-links")

@@ -111,3 +111,11 @@ def test_groups_of_fingerprints_as_brute_force(spark):
     got = {r.node: r.cluster for r in shingles.fingerprint_groups(nodes, shingles.NEAR_BITS).collect()}
     assert len(set(root)) < len(set(prints)) and len(got) == len(prints)
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in got for j in got)
+
+
+def test_the_driver_lets_go_of_finished_steps(spark):
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    rows = list(enumerate(varied(1)[:40]))
+    before = full()
+    assert kept(rows, spark) == brute_kept(rows)
+    assert full() - before >= 4
