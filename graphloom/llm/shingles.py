@@ -257,14 +257,14 @@ def fingerprint_groups(nodes: DataFrame, bound: int) -> DataFrame:
     for done in read:
         discard(done)
     release(nodes.sparkSession)
-    classes = connected_components(links).select(F.col("node").alias("fingerprint"), "component")
+    classes = connected_components(links, tidy=True).select(F.col("node").alias("fingerprint"), "component")
     return nodes.join(classes, "fingerprint", "left").select("node", F.coalesce("component", "fingerprint").alias("cluster"))
 
 
 def _cluster_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     """src, dst: links between the nodes of postings (key, node), enough to join their classes."""
     least = left.groupBy("key").agg(F.min("node").alias("least"))
-    clusters = connected_components(left.join(least, "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct())
+    clusters = connected_components(left.join(least, "key").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct(), tidy=True)
     release(left.sparkSession)
     return _links_within(materialize(clusters.select("node", F.col("component").alias("cluster")), "clusters"), sets)
 
@@ -339,9 +339,19 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    classes = materialize(connected_components(links).select("node", "component"), "near-classes")
-    release(links.sparkSession)
-    return classes
+    return materialize(connected_components(links, tidy=True).select("node", "component"), "near-classes")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, component) closed over further links (src, dst), which are followed between classes, not nodes."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class"))
+    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    ends = ends.select(F.coalesce("src_class", "src").alias("src"), F.coalesce("dst_class", "dst").alias("dst")).filter("src != dst").distinct()
+    tops = connected_components(materialize(ends, "class-links"), tidy=True)
+    tops = materialize(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "class-tops")
+    lone = tops.join(classes.select(F.col("node").alias("component")), "component", "left_anti")  # nodes that had no class
+    named = classes.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return materialize(named.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component"))), "near-classes")
 
 
 def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = None, spent: DataFrame | None = None) -> DataFrame:
@@ -375,13 +385,15 @@ def near_classes(marks: DataFrame, texts: DataFrame, known: DataFrame | None = N
     pairs = shared.filter((F.col("hub") != F.col("node")) & _alike("n", "hub_n")).select(F.col("hub").alias("src"), F.col("node").alias("dst"))
     links = _verified(materialize(_across(pairs.distinct(), groups), "hub-pairs"), sets)
     links = materialize(links.unionByName(known), "near-links")
-    named = shared.join(_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = _components(links)
+    named = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
     left = materialize(named.filter("node != hub").join(mixed, "key").select("key", "node"), "left-postings")
     rest = materialize(_cluster_links(left, sets), "left-links")
-    classes = _components(links.unionByName(rest))
-    for done in (nodes, partnered, groups, found, sets, shared, left):
+    classes = _joined(joined, rest)
+    for done in (nodes, partnered, groups, found, sets, shared, left, joined):
         discard(done)
+    release(marks.sparkSession)
     return classes
 
 

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import read_table
+from graphloom.session import read_table, release
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier than not to have a grade of 1 or more."""
@@ -44,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1, 150 % of all words, no document more than twice."""
     from .mixing import mix
 
+    release(spark)  # what near-duplicates have left in the driver
     return mix(docs, (5, 2, 1), 1.5, 2.0)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 
+from graphloom import session
 from graphloom.llm import shingles, simhash, stages
 
 
@@ -119,3 +120,33 @@ def test_the_driver_lets_go_of_finished_steps(spark):
     before = full()
     assert kept(rows, spark) == brute_kept(rows)
     assert full() - before >= 4
+
+
+def test_last_links_join_classes_not_nodes(spark, monkeypatch):
+    counts, components = [], shingles.connected_components
+
+    def counted(edges, **how):
+        counts.append(edges.count())
+        return components(edges, **how)
+
+    monkeypatch.setattr(shingles, "connected_components", counted)
+    rows = list(enumerate(varied(1)))
+    assert kept(rows, spark) == brute_kept(rows)
+    assert len(counts) == 4 and counts[-1] < counts[1]
+
+
+def test_classes_joined_by_further_links(spark):
+    classes = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (9, 3)], "node long, component long")
+    links = spark.createDataFrame([(4, 1), (5, 7), (7, 9), (11, 10)], "src long, dst long")
+    got = sorted(map(tuple, shingles._joined(classes, links).collect()))
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2), (7, 2), (9, 2), (10, 10), (11, 10)]
+
+
+def test_a_release_returns_the_heap_and_leaves_the_setting(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    flags = beans.getPlatformMXBean(spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    before = flags.getVMOption("MaxHeapFreeRatio").getValue()
+    session.release(spark)
+    heap = beans.getMemoryMXBean().getHeapMemoryUsage()
+    assert heap.getCommitted() < 2 * heap.getUsed() + (32 << 20)
+    assert flags.getVMOption("MaxHeapFreeRatio").getValue() == before
