@@ -1,4 +1,7 @@
-"""The stages of the corpus pipeline, each (spark, docs, sf_dir) -> documents."""
+"""The stages of the corpus pipeline, each (spark, docs, sf_dir) -> documents.
+
+Each begins with what the stage before has left in the driver collected.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier than not to have a grade of 1 or more."""
     from .quality import fit, grade_of_labels, select
 
+    release(spark)
     return select(docs, fit(docs, read_table(spark, sf_dir, "labels"), grade_of_labels(), 3))
 
 
@@ -19,6 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are equal to an earlier line or one edit apart; those with no word left go."""
     from .line_dedup import dedup_lines
 
+    release(spark)
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -31,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     from .shingles import keep_one
 
+    release(spark)
     try:
         source = read_table(spark, sf_dir, "documents")
     except AnalysisException as missing:  # there is no corpus but the documents given
@@ -44,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1, 150 % of all words, no document more than twice."""
     from .mixing import mix
 
-    release(spark)  # what near-duplicates have left in the driver
+    release(spark)
     return mix(docs, (5, 2, 1), 1.5, 2.0)
 
 
@@ -54,4 +60,5 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from .bpe import encode_checked
 
+    release(spark)
     return encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -134,3 +134,16 @@ def test_registered_queries_have_their_columns(spark, sf):
     assert names == {f"op{n}" for n in range(1, 11)} and len(corpus_pipeline.STAGES) == 5
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert queries.op8_mix_sources(spark, sf).filter(F.col("taken") > 2 * F.col("size")).isEmpty()
+
+
+def test_every_stage_begins_with_a_release(spark, sf, monkeypatch):
+    class Released(Exception):
+        pass
+
+    def release(session):
+        raise Released
+
+    monkeypatch.setattr(stages, "release", release)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Released):
+            stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
