@@ -26,7 +26,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     marks = materialize(spans(docs), "spans")
     found = judged(marks, train(labelled_samples(docs, marks)))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    # a lambda of one argument, as Spark gives the index to a second one, even to one with a default
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
     return found.select(
         "doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"),

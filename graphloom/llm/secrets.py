@@ -74,7 +74,8 @@ def ordinary_samples(docs: DataFrame, max_documents: int = 4000, text: str = "te
     """
     share = min(1.0, max_documents / max(docs.count(), 1))
     chosen = docs.select(whole(F.col(text)).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    pairs = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}\\x20[A-Za-z]{2,}"), F.lit(0))).alias("pair"))
+    # a word begins where no letter is before it, so that a long run of letters is read once and not from each of its places
+    pairs = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z])[A-Za-z]{2,}+\\x20[A-Za-z]{2,}"), F.lit(0))).alias("pair"))
     pairs = pairs.select(F.split("pair", " ").alias("w"), F.xxhash64("pair").alias("h"))
     digit = lambda n, width: F.lpad(F.pmod(F.shiftright("h", 8), F.lit(n)).cast("string"), width, "0")
     one, two = F.get("w", F.lit(0)), F.get("w", F.lit(1))

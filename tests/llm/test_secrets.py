@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -109,3 +110,16 @@ def test_whole_table(spark, sf):
     want = {r.doc_id: brute(r.text) for r in df.collect()}
     got = {r.doc_id: [(x.s, x.k, x.e) for x in r.base] for r in S.scan(df, S.train(S.labelled_samples(df))).collect()}
     assert got == want
+
+
+def test_query_counts_each_kind_and_reads_long_runs(spark, tmp_path):
+    """Counts and hash of the query against brute force; a long run of letters is not read again from each of its places."""
+    from graphloom.llm.queries import op2_secrets
+
+    rows = dict(enumerate([*texts()[:100], "token" * 40_000, "AKIA" * 50_000, "a" * 100_000]))
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op2_secrets(spark, str(tmp_path)).collect():
+        base = brute(rows[r.doc_id])
+        spelled = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert r.base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
