@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 
+#: Components that a cell of vectors holds.
+VALUES = 1 << 20
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -88,31 +94,61 @@ def hashed_search(vectors: DataFrame, query: list[float], k: int = 10, tables: i
 def similar_pairs(vectors: DataFrame, threshold: float, cells: int | None = None, seed: int = 42) -> DataFrame:
     """a, b (a < b), score of every two vectors of a cosine of at least the threshold.
 
-    cells: about the square root of the number of vectors unless given, at most 1,024, so that a cell grows slower than
-    the table; a low threshold still compares most cells, for most pairs are then in reach.
+    Exact, and every two are compared, dealt by their ids to `cells` (so many that one holds `VALUES` components unless
+    given): at a low threshold in many dimensions no bound keeps cells apart. Each two cells meet in one task, as
+    a matrix product in single precision; what that leaves within its error of the threshold is summed again in double
+    precision, component by component. Work grows with the square of the table, what a task holds does not.
 
-    Exact, without comparing all: unit vectors are dealt to `cells` of k-means centres; two vectors at an angle t can
-    only be in cells of which one vector's angle to the other's centre exceeds that to its own by at most t. So each
-    vector is stored in its own cell, and probes every cell whose centre is that near.
+    Vectors of zeros, with null components or of other lengths are similar to none.
     """
-    rows = vectors.select("vec_id", doubles(F.col("embedding")).alias("v")).filter("vec_id is not null and v is not null")
-    size = F.sqrt(dot(F.col("v"), F.col("v")))
-    rows = rows.withColumn("v", F.when(size > 0, F.transform("v", lambda x: x / size))).filter("v is not null")
-    cells = cells or min(1024, max(16, math.isqrt(vectors.count())))
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(cells).collect()
-    if not sample:
-        return rows.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("score"))
-    angles = F.array(*[F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("v"), literal(r.v))))) for r in sample])
     from graphloom.session import materialize
 
-    placed = materialize(rows.withColumn("angles", angles).withColumn("least", F.array_min("angles")).withColumn("cell", F.array_position("angles", F.col("least"))), "cells")
-    # own centre c, other's centre d: angle(x, d) <= angle(x, y) + angle(y, d) and angle(y, d) <= angle(y, c)
-    reach = F.acos(F.lit(float(threshold)))
-    near = F.filter(F.sequence(F.lit(1), F.lit(len(sample))), lambda c: F.get("angles", c - 1) <= F.col("least") + 2 * reach + 1e-9)
-    probes = placed.select(F.col("vec_id").alias("a"), F.col("v").alias("va"), F.explode(near).alias("cell"))
-    stored = placed.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("cell").cast("int").alias("cell"))
-    found = probes.join(stored, "cell").filter("a < b").withColumn("score", dot(F.col("va"), F.col("vb")))
-    return found.filter(F.col("score") >= threshold).select("a", "b", "score")
+    v = F.col("embedding")
+    rows = materialize(vectors.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null").filter(~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0)), "vectors")
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    cells = cells or max(1, -(-n // max(256, min(VALUES // longest, n // 8))))
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(cells)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    dealt = dealt.select(F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "vec_id", "v")
+    # by number, so that small cells of much work are not put into one task
+    dealt = dealt.repartition(min(2 * cells * (cells + 1), 4096), "i", "j")
+    kind = dict(rows.dtypes)["vec_id"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        lengths = pc.list_value_length(table["v"])
+        for dim in pc.unique(lengths).to_pylist():
+            some = table.filter(pc.equal(lengths, dim))
+            parts = [some.filter(pc.equal(some["cell"], k)) for k in pc.unique(some["cell"]).to_pylist()]
+            if len(parts) > 1 or some["i"][0] == some["j"][0]:
+                yield from _near(parts[0], parts[-1], dim, threshold)
+
+    return dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, score double")
+
+
+def _near(left: pa.Table, right: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """a, b, score of the pairs between two cells, or within one."""
+    (one, x), (two, y) = ((t["vec_id"].combine_chunks(), _units(t["v"], dim)) for t in (left, right))
+    slack, small = (dim + 8) * 2.0**-22, y.astype(np.float32).T
+    step = max(1, (1 << 23) // len(y))
+    for at in range(0, len(x), step):
+        near = np.flatnonzero(~(x[at : at + step].astype(np.float32) @ small < threshold - slack))
+        for begin in range(0, len(near), 1 << 16):
+            r, c = np.divmod(near[begin : begin + (1 << 16)], len(y))
+            score = np.cumsum(x[at + r] * y[c], axis=1)[:, -1]
+            sure = ~(score < threshold)
+            a, b = one.take(pa.array(at + r[sure])), two.take(pa.array(c[sure]))
+            turned = pc.greater(a, b)
+            low, high, score = pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(score[sure])
+            # within a cell each pair is met from both sides
+            keep = pc.less(a, b) if left is right else pc.not_equal(a, b)
+            yield pa.RecordBatch.from_arrays([low.filter(keep), high.filter(keep), score.filter(keep)], ["a", "b", "score"])
+
+
+def _units(v: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows scaled to length one, sums taken component by component."""
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in v.chunks])
+    x = flat.astype(np.float64).reshape(-1, dim)
+    return x / np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
