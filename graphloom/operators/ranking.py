@@ -21,7 +21,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     weight: a column of the edges by which a node's rank is shared out (the largest of equal edges); evenly without one.
 
     nodes: id. Stops when all ranks together move by less than tolerance * nodes, or after `rounds` if given; ranks that do not settle in max_rounds are an error. Each round
-    is one join and one aggregate on the edges, and is written to the shared folder.
+    is one join and one aggregate on the edges, and is written to the shared folder. The ranks of all nodes are never broadcast.
     """
     e = edges.groupBy("src", "dst").agg((F.max(weight) if weight else F.lit(1)).alias("weight"))
     out = e.groupBy("src").agg(F.sum("weight").alias("out"))
@@ -33,9 +33,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     ranks = materialize(nodes.select("id").join(has_out, "id", "left").select("id", F.coalesce("calls", F.lit(False)).alias("calls"), F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(rounds or max_rounds):
         dangling = ranks.filter(~F.col("calls")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = e.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("weight") / F.col("out")).alias("got"))
+        given = e.join(ranks.select(F.col("id").alias("src"), "rank").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("weight") / F.col("out")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
-        fresh = ranks.join(given, "id", "left").select("id", "calls", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
+        fresh = ranks.join(given.hint("merge"), "id", "left").select("id", "calls", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
         fresh = materialize(fresh, "ranks")
         moved = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
         discard(ranks)
