@@ -32,7 +32,8 @@ def ecosystem(functions: DataFrame, edges: DataFrame, name: str, similar: DataFr
     similar: what a search for the name has found, a row for each.
     """
     some = functions.filter(F.col("name") == name)
-    near = edges.join(some.select("id"), (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")), "left_semi")
+    # two joins by a key: one on either end would compare every edge with every function of the name
+    near = edges.join(some.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").unionByName(edges.join(some.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
     context = G.function_context(functions, near).join(some.select("id", "complexity_score"), "id")
     counted = context.withColumns({"n_callees": F.size("callees"), "n_callers": F.size("callers")})
     return counted.crossJoin(similar.agg(F.count("*").alias("n_similar")))  # by one row
