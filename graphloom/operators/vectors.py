@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,33 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def sparse_cosine(a: Column, vector: list[float]) -> Column:
+    """Cosine with a vector of few components other than 0; a's length is worked out where the product is not 0.
+
+    a has no null or endless components, for products with 0 are left out.
+    """
+    part = F.lit(0.0)
+    for i, x in enumerate(vector):
+        if x:
+            part = part + F.get(a, F.lit(i)) * F.lit(float(x))
+    size = F.sqrt(dot(a, a)) * F.lit(math.sqrt(sum(float(x) * float(x) for x in vector)))
+    return F.when(part == 0, 0.0).otherwise(part / size)
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", threshold: float | None = None, exclude: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", threshold: float | None = None, exclude: int | None = None, sparse: bool = False) -> DataFrame:
     """vec_id, score, rnk of the k nearest to one vector. l2 takes the smallest distances, and those up to the threshold.
 
+    sparse: as sparse_cosine, for a query of few components other than 0 and vectors without null or endless ones.
+
     One scan and a top-k in each task; only k rows of each meet.
     """
     f = {"cosine": cosine, "ip": dot, "l2": distance}[metric]
-    rows = vectors.select("vec_id", f(doubles(F.col("embedding")), literal(query)).alias("score"))
+    v = doubles(F.col("embedding"))
+    rows = vectors.select("vec_id", (sparse_cosine(v, query) if sparse else f(v, literal(query))).alias("score"))
     if exclude is not None:
         rows = rows.filter(F.col("vec_id") != exclude)
     if threshold is not None:

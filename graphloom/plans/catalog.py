@@ -684,4 +684,4 @@ def v10_hybrid_search(spark, d):
     model = embedder(1024).fit(rows)
     table = materialize(embed(model, rows), "embedded")
     vector = lambda q: list(embed(model, spark.createDataFrame([(q,)], "content string")).first()["embedding"])
-    return Searcher(table, vector).search(SearchRequest("license", threshold=0.05)).withColumn("highlights", F.array_join("highlights", "|||"))
+    return Searcher(table, vector, sparse=True).search(SearchRequest("license", threshold=0.05)).withColumn("highlights", F.array_join("highlights", "|||"))

@@ -56,11 +56,12 @@ class Searcher:
     """Searches a table of id, content, filepath, language, embedding; embed turns a query into a vector.
 
     rerank: takes a query and the found rows and returns them with another score, for requests of kind `ai`; without it
-    their order stays.
+    their order stays. sparse: the embeddings are of words, with no null or endless components, so that a query of few
+    words is compared in its own components alone.
     """
 
-    def __init__(self, table: DataFrame, embed=None, remembered: int = 100, rerank=None) -> None:
-        self.table, self.embed, self.remembered, self.rerank = table, embed, remembered, rerank
+    def __init__(self, table: DataFrame, embed=None, remembered: int = 100, rerank=None, sparse: bool = False) -> None:
+        self.table, self.embed, self.remembered, self.rerank, self.sparse = table, embed, remembered, rerank, sparse
         self.cache: OrderedDict[SearchRequest, DataFrame] = OrderedDict()
         self.history: list[tuple[str, str]] = []
 
@@ -95,7 +96,9 @@ class Searcher:
         semantic = request.kind in ("semantic", "hybrid", "ai") and self.embed is not None
         parts = []
         if semantic:
-            found = vectors.top_k(rows.select(F.col("id").alias("vec_id"), "embedding"), self.embed(request.query), 2 * request.top_k, threshold=request.threshold)
+            asked = self.embed(request.query)
+            few = self.sparse and sum(x != 0 for x in asked) <= 64
+            found = vectors.top_k(rows.select(F.col("id").alias("vec_id"), "embedding"), asked, 2 * request.top_k, threshold=request.threshold, sparse=few)
             parts.append(found.select(F.col("vec_id").alias("id"), "score"))
         if request.kind != "semantic" or not semantic:
             score = T.keyword_score(request.query, F.lit(""), F.col("filepath"), F.col("content"), F.lit(""))
